@@ -5,13 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliograph.llm import tokenize
+from foliograph.llm import groups, tokenize
 from foliograph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "entities").select("id")
+    known = table(spark, d, "entity_matches").select("left_id", "right_id")
+    for end in ("left_id", "right_id"):
+        known = known.join(ids.withColumnRenamed("id", end), end, "left_semi")
+    return groups.connected_groups(known).select("group_id", F.col("member_id").alias("entity_id"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
