@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import groups, tokenize
+from foliograph.llm import groups, pieces, tokenize
 from foliograph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.connected_groups(known).select("group_id", F.col("member_id").alias("entity_id"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    cut = pieces.oversized_pieces(table(spark, d, "text_chunks"))
+    return cut.filter("part = 1").select(F.col("id").alias("chunk_id"))
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(table(spark, d, "text_chunks"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
@@ -30,4 +39,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": "SELECT id AS chunk_id FROM text_chunks WHERE length(content) > 500"}
