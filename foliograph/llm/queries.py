@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import groups, pieces, tokenize
+from foliograph.llm import groups, neighbours, pieces, tokenize
 from foliograph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,28 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(table(spark, d, "text_chunks"))
 
 
+def _vectors(spark: SparkSession, d: str, modality: str) -> DataFrame:
+    """The vectors of an index whose faiss_id a row of its table still holds."""
+    held = table(spark, d, {"text": "text_chunks", "image": "images"}[modality]).select("faiss_id").filter("faiss_id IS NOT NULL")
+    return table(spark, d, f"{modality}_vectors").select("faiss_id", "vec").join(held, "faiss_id", "left_semi")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    def found(modality: str) -> DataFrame:
+        pairs = neighbours.similar_pairs(neighbours.nearest(_vectors(spark, d, modality), min_cosine=0.9))
+        return pairs.select(F.lit(modality).alias("modality"), "left_id", "right_id")
+
+    return found("text").unionByName(found("image"))
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    def near(modality: str) -> DataFrame:
+        rows = neighbours.nearest(_vectors(spark, d, modality))
+        return rows.select(F.lit(modality).alias("modality"), F.col("id").alias("faiss_id"), F.col("neighbour").alias("neighbour_id"), F.round("cosine", 5).alias("cosine"))
+
+    return near("text").unionByName(near("image"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
