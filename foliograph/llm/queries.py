@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import groups, neighbours, pieces, tokenize
+from foliograph.llm import groups, neardup, neighbours, pieces, tokenize
 from foliograph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(table(spark, d, "text_chunks"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs, copies = neardup.alike(table(spark, d, "text_chunks").select("id", "content"))
+    return neardup.expanded_pairs(pairs, copies)
+
+
 def _vectors(spark: SparkSession, d: str, modality: str) -> DataFrame:
     """The vectors of an index whose faiss_id a row of its table still holds."""
     held = table(spark, d, {"text": "text_chunks", "image": "images"}[modality]).select("faiss_id").filter("faiss_id IS NOT NULL")
