@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import groups, mojibake, neardup, neighbours, pieces, tokenize
+from foliograph.llm import groups, mojibake, neardup, neighbours, pieces, scans, tokenize
 from foliograph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,14 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(table(spark, d, "text_chunks"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(table(spark, d, "text_chunks"))
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(table(spark, d, "text_chunks"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pairs, copies = neardup.alike(table(spark, d, "text_chunks").select("id", "content"))
     return neardup.expanded_pairs(pairs, copies)
