@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import groups, mojibake, neardup, neighbours, pieces, scans, tokenize
+from foliograph.llm import groups, mojibake, neardup, neighbours, pieces, scans, sentences, tokenize
 from foliograph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,11 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(table(spark, d, "text_chunks"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "text_chunks").filter("source = 'native' AND length(content) > 0")
+    return sentences.sentences(rows).withColumnRenamed("id", "chunk_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.noise(table(spark, d, "text_chunks"))
 
