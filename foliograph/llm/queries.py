@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import groups, mojibake, neardup, neighbours, pieces, scans, sentences, tokenize
+from foliograph.llm import groups, mojibake, names, neardup, neighbours, pieces, scans, sentences, tokenize
 from foliograph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(names.same_entities(table(spark, d, "entities"), table(spark, d, "entity_mentions")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "entities").select("id")
     known = table(spark, d, "entity_matches").select("left_id", "right_id")
