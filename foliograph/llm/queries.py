@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliograph.llm import groups, mojibake, names, neardup, neighbours, pieces, scans, sentences, tokenize
+from foliograph.llm import groups, mojibake, names, neardup, neighbours, packing, pieces, scans, sentences, tokenize
 from foliograph.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,10 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(table(spark, d, "documents"))
 
 
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.affected(table(spark, d, "documents")).select(F.col("id").alias("doc_id"))
 
