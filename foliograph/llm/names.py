@@ -238,14 +238,16 @@ def _similar(keys: DataFrame) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, core, rest, num, weight = (c.to_pylist() for c in b.columns)
-            out = [(xxhash.xxh64_intdigest(f"{h}|{r}|{m}") - (1 << 63), k, c, r, w) for k, c, r, m, w in zip(key, core, rest, num, weight) if len(c) >= 6 for h in bands(c)]
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["band", "key", "core", "rest", "weight"])
+            key, core, rest, num = (c.to_pylist() for c in b.columns)
+            out = [(xxhash.xxh64_intdigest(f"{h}|{r}|{m}") - (1 << 63), k) for k, c, r, m in zip(key, core, rest, num) if len(c) >= 6 for h in bands(c)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["band", "key"])
 
-    placed = keys.select("key", "core", "rest", "num", "weight").mapInArrow(place, "band bigint, key bigint, core string, rest string, weight bigint")
-    a, b = placed.toDF("band", "a", "core_a", "rest", "wa"), placed.drop("rest").toDF("band", "b", "core_b", "wb")
-    met = a.join(b, "band").filter(F.col("a") < F.col("b")).select("a", "b", "core_a", "core_b", "rest", "wa", "wb").distinct()
+    # Both sides are the same exchange; what the check needs is fetched for the pairs that met.
+    placed = keys.select("key", "core", "rest", "num").mapInArrow(place, "band bigint, key bigint")
+    met = placed.toDF("band", "a").join(placed.toDF("band", "b"), "band").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
+    left = keys.select(F.col("key").alias("a"), F.col("core").alias("core_a"), "rest", F.col("weight").alias("wa"))
+    right = keys.select(F.col("key").alias("b"), F.col("core").alias("core_b"), F.col("weight").alias("wb"))
+    met = met.join(left, "a").join(right, "b").select("a", "b", "core_a", "core_b", "rest", "wa", "wb")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -259,6 +261,7 @@ def _similar(keys: DataFrame) -> DataFrame:
 def _stars(keys: DataFrame, similar: DataFrame) -> DataFrame:
     """(key, centre) of the keys that join another: centres are heavier than all their neighbours, ties to the smaller key."""
     scratch = Scratch(keys.sparkSession)
+    similar = scratch.put(similar)
     both = scratch.put(similar.unionByName(similar.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("wb").alias("wa"), F.col("wa").alias("wb"))))
     heavier = F.struct(F.col("wb").alias("w"), (-F.col("b")).alias("k"))
     top = both.groupBy("a", "wa").agg(F.max(heavier).alias("best")).select(F.col("a").alias("key"), F.col("best.k").alias("k"), (F.struct(F.col("wa").alias("w"), (-F.col("a")).alias("k")) > F.col("best")).alias("centre"))
