@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.tokenize import DEFAULT_VOCABULARY, Encoder
+from foliograph.llm.tokenize import DEFAULT_VOCABULARY, Encoder, merge_piece
 from foliograph.sources.tables import Scratch
 
 CAPACITY, SHARD = 2048, 2000
@@ -57,7 +57,8 @@ class Index:
         at = at[self.rare[at]]
         if not len(at):
             return np.zeros(self.n)
-        where = np.concatenate([np.arange(a, b) for a, b in zip(self.first[at], self.last[at])])
+        size = self.last[at] - self.first[at]
+        where = np.arange(size.sum()) + np.repeat(self.first[at] - (np.cumsum(size) - size), size)
         return np.bincount(self.item[where], self.weight[where], minlength=self.n)
 
 
@@ -129,27 +130,32 @@ def _items(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity:
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("length(text) > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, hashes = Encoder.of(vocabulary), {}
+        encoder, known = Encoder.of(vocabulary), {}
+
+        def look(p: str) -> tuple[int, int | None]:
+            """The size of a piece in tokens and the hash of its word, None where it has no letter."""
+            w = p.strip().lower()
+            return len(merge_piece(p.encode(), encoder.ranks)), xxhash.xxh32_intdigest(w) - (1 << 31) if w and w[0].isalpha() else None
+
         for b in batches:
             out = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = len(encoder.packed(t)) // 4
-                if len(hashes) > 400_000:
-                    hashes.clear()
-                words = []
+                if len(known) > 400_000:
+                    known.clear()
+                n, hashes, times = 0, [], []
                 for p, k in Counter(encoder.split(t)).items():
-                    if (h := hashes.get(p)) is None:
-                        w = p.strip().lower()
-                        h = hashes[p] = xxhash.xxh32_intdigest(w) - (1 << 31) if w and w[0].isalpha() else 1 << 40
-                    if h < 1 << 40:
-                        words.append((h, min(k, 255)))
-                words.sort()
-                terms = np.array([w[0] for w in words], np.int32)
-                sig = int((terms.astype(np.uint32) * np.uint32(0x9E3779B1)).min()) if words else 0
+                    if (seen := known.get(p)) is None:
+                        seen = known[p] = look(p)
+                    n += seen[0] * k
+                    if seen[1] is not None:
+                        hashes.append(seen[1]), times.append(k)
+                terms, order = np.unique(np.array(hashes, np.int32), return_index=True)
+                counts = np.minimum(np.array(times, np.int64)[order], 255).astype(np.uint8) if hashes else np.zeros(0, np.uint8)
+                sig = int((terms.view(np.uint32) * np.uint32(0x9E3779B1)).min()) if hashes else 0
                 full = n // capacity
                 out += [(i, k, k * capacity, capacity, 0, b"", b"") for k in range(full)]
                 if n % capacity:
-                    out.append((i, full, full * capacity, n % capacity, sig, terms.tobytes(), bytes(w[1] for w in words)))
+                    out.append((i, full, full * capacity, n % capacity, sig, terms.tobytes(), counts.tobytes()))
             cols = list(zip(*out)) or [()] * 7
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "part", "start", "n", "sig", "terms", "counts"])
