@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from foliograph.functions import text as T
 
@@ -54,7 +55,7 @@ def key_rows(rows: DataFrame, n: int = 5, weight: float = 0.7, most: int | None
 def hashed_vector(dim: int = 64):
     """A deterministic bag-of-tokens vector where no model is at hand; it stands for no trained one."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import xxhash
 
