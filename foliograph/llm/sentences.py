@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliograph.llm.sampling import by_hash
+
 SAMPLE, EXAMPLES = 20_000, 60_000
 
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
@@ -258,7 +260,7 @@ def fit(texts: list[str], limit: int = EXAMPLES, rounds: int = 4) -> Model:
 def sentences(df: DataFrame, id_col: str = "id", text_col: str = "content", sample: int = SAMPLE) -> DataFrame:
     """(id, start_pos, end_pos) of every sentence of every row."""
     rows = df.filter(F.length(text_col) > 0).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("text").toArrow()
+    drawn = by_hash(rows, sample).select("text").toArrow()
     model = df.sparkSession.sparkContext.broadcast(fit(drawn["text"].to_pylist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
