@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliograph.llm.sampling import by_hash
 from foliograph.sources.tables import Scratch
 
 SAMPLE = 32_768
@@ -125,7 +126,7 @@ def nearest(df: DataFrame, id_col: str = "faiss_id", vec_col: str = "vec", k: in
     n = rows.count()
     if n == 0:
         return spark.createDataFrame([], "id bigint, neighbour bigint, cosine double")
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
+    drawn = by_hash(rows, sample, n=n).select("v").toArrow()
     x = _unpack(drawn.column(0).combine_chunks(), dim)
     lists = int(min(MAX_LISTS, max(1, n // list_size), max(1, len(x) // 4)))
     graph = spark.sparkContext.broadcast(CentroidGraph(fit_centroids(x, lists)))
