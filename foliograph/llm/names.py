@@ -160,7 +160,7 @@ def spellings(entities: DataFrame, mentions: DataFrame | None) -> DataFrame:
     if mentions is not None:
         known = entities.select(F.col("id").cast("bigint").alias("id"))
         named = named.unionByName(mentions.select(F.col("entity_id").cast("bigint").alias("id"), F.col("span_text").alias("s")).join(known, "id", "left_semi"))
-    return named.select("id", F.trim("s").alias("s")).filter("length(s) > 1").distinct()
+    return named.select("id", F.trim("s").alias("s")).filter("id IS NOT NULL AND length(s) > 1").distinct()
 
 
 def _common_tokens(spelled: DataFrame, n: int) -> set[str]:
