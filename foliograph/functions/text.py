@@ -20,9 +20,9 @@ DOT_LEADER = r"[.·•‥⋯…]{4,}"
 SENTENCE_END = r"[.!?。:;)\]」』〉》다]['\"”’)]*" + WS + "*$"
 PAGE_NUMBER = rf"(?i)^(?:[-–—•·]?{WS}*)?(?:page|p\.?|pg\.?)?{WS}*[0-9]{{1,4}}{WS}*(?:/{WS}*[0-9]{{1,4}})?{WS}*(?:쪽|페이지)?(?:{WS}*[-–—•·]?{WS}*)?$"
 TOKEN = r"[가-힣]{2,}|[A-Za-z][A-Za-z\-]{1,}|[0-9]{4}"
-DATE = r"(?:(?:19|20)[0-9]{2}[.\-/년] ?(?:0?[1-9]|1[0-2])(?:[.\-/월] ?(?:0?[1-9]|[12][0-9]|3[01])일?)?)|(?:(?:19|20)[0-9]{2}년)|(?:[0-9] ?분기)"
-DATE_LONGEST = r"(?:(?:19|20)[0-9]{2}[.\-/년] ?(?:1[0-2]|0?[1-9])(?:[.\-/월] ?(?:3[01]|[12][0-9]|0?[1-9])일?)?)|(?:(?:19|20)[0-9]{2}년)|(?:[0-9] ?분기)"
-METRIC = r"[0-9][0-9,.]* ?(?:조|억|만|천)? ?(?:원|달러|명|개|건|%|퍼센트|p|bp|배|시간|분|초|톤|kg|km|MW|GW|TB|GB)"
+DATE = r"(?:(?:19|20)[0-9]{2}[.\-/년]\s?(?:0?[1-9]|1[0-2])(?:[.\-/월]\s?(?:0?[1-9]|[12][0-9]|3[01])일?)?)|(?:(?:19|20)[0-9]{2}년)|(?:[0-9]\s?분기)"
+DATE_LONGEST = r"(?:(?:19|20)[0-9]{2}[.\-/년]\s?(?:1[0-2]|0?[1-9])(?:[.\-/월]\s?(?:3[01]|[12][0-9]|0?[1-9])일?)?)|(?:(?:19|20)[0-9]{2}년)|(?:[0-9]\s?분기)"
+METRIC = r"[0-9][0-9,.]*\s?(?:조|억|만|천)?\s?(?:원|달러|명|개|건|%|퍼센트|p|bp|배|시간|분|초|톤|kg|km|MW|GW|TB|GB)"
 NAME_EDGE = "\"'()[]{}<>·,.:;"
 # Particles in the order in which they are tried.
 PARTICLES = (
