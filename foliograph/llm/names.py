@@ -9,7 +9,7 @@ a key: core, common part, number.
 Keys with the same common part and number are compared where their cores collide: MinHash over padded 3-grams in
 ``BANDS`` bands of ``ROWS``. Collision curve 1 - (1 - s**3)**24: 0.9998 at s = 0.7 (one edit in a name of usual length),
 0.96 at 0.5 (two edits), 0.04 at the 0.12 that unrelated names have. Candidates are verified by the Monge-Elkan
-similarity of their tokens (Jaro-Winkler inside) and at most two edits of the core. Star clustering takes keys by
+similarity of their tokens (Jaro-Winkler inside) and at most two edits of the core, one below ten letters. Star clustering takes keys by
 falling weight: a key joins its heaviest neighbour that is a centre. Keys of one entity tie their clusters together.
 A key without a full given name or kind counts only for entities that have nothing better, and only if a single
 cluster of the core agrees with it.
@@ -144,14 +144,29 @@ def grams(core: str) -> list[str]:
     return [padded[i : i + Q] for i in range(len(padded) - Q + 1)]
 
 
-def bands(core: str) -> list[int]:
-    """BANDS hashes, each of ROWS minimum hashes of the core's padded q-grams."""
-    h = np.array([xxhash.xxh32_intdigest(g) for g in set(grams(core))], np.uint64)
-    k = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)
-    mixed = (h[:, None] * (k * np.uint64(0x9E3779B1) | np.uint64(1)) + k * np.uint64(0x85EBCA77)) & np.uint64(0xFFFFFFFF)
-    mixed = (mixed ^ (mixed >> np.uint64(15))) * np.uint64(0x2C1B3C6D) & np.uint64(0xFFFFFFFF)
-    least = (mixed ^ (mixed >> np.uint64(12))).min(axis=0).reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(least[i].tobytes(), seed=i) - (1 << 63) for i in range(BANDS)]
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def bands(cores: list[str], block: list[str] | None = None) -> np.ndarray:
+    """A row of BANDS hashes for each core: each of ROWS minimum hashes of its padded q-grams, and of its block."""
+    owner, hashes = [], []
+    for i, c in enumerate(cores):
+        g = {xxhash.xxh32_intdigest(x) for x in grams(c)}
+        hashes += g
+        owner += [i] * len(g)
+    h = np.array(hashes, np.uint64)
+    first = np.searchsorted(np.array(owner), np.arange(len(cores)))
+    salt = np.array([xxhash.xxh64_intdigest(x) for x in block or [""] * len(cores)], np.uint64)
+    out = np.empty((len(cores), BANDS), np.uint64)
+    for i in range(BANDS):
+        key = salt + np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15)
+        for j in range(ROWS):
+            k = np.uint64(i * ROWS + j + 1)
+            key = _mix(key ^ np.minimum.reduceat(_mix(h * (k * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)) + k) >> np.uint64(20), first))
+        out[:, i] = key
+    return out.view(np.int64)
 
 
 def spellings(entities: DataFrame, mentions: DataFrame | None) -> DataFrame:
@@ -239,8 +254,10 @@ def _similar(keys: DataFrame) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, core, rest, num = (c.to_pylist() for c in b.columns)
-            out = [(xxhash.xxh64_intdigest(f"{h}|{r}|{m}") - (1 << 63), k) for k, c, r, m in zip(key, core, rest, num) if len(c) >= 6 for h in bands(c)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["band", "key"])
+            kept = [i for i, c in enumerate(core) if len(c) >= 6]
+            if kept:
+                h = bands([core[i] for i in kept], [f"{rest[i]}|{num[i]}" for i in kept])
+                yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(np.repeat(np.array([key[i] for i in kept], np.int64), BANDS))], names=["band", "key"])
 
     # Both sides are the same exchange; what the check needs is fetched for the pairs that met.
     placed = keys.select("key", "core", "rest", "num").mapInArrow(place, "band bigint, key bigint")
@@ -252,7 +269,7 @@ def _similar(keys: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             x, y, r = (t.column(i).to_pylist() for i in (2, 3, 4))
-            ok = [edits(p, q, EDITS) <= EDITS and monge_elkan([p, *s.split()], [q, *s.split()]) >= SIMILAR for p, q, s in zip(x, y, r)]
+            ok = [edits(p, q, most := EDITS if min(len(p), len(q)) >= 10 else 1) <= most and monge_elkan([p, *s.split()], [q, *s.split()]) >= SIMILAR for p, q, s in zip(x, y, r)]
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(5), t.column(6)], names=["a", "b", "wa", "wb"]).filter(pa.array(ok))
 
     return met.mapInArrow(verify, "a bigint, b bigint, wa bigint, wb bigint")
