@@ -247,11 +247,15 @@ def kg_04(spark, d):
     return extract.from_tables(t)[0].select("document_id", "name", "entity_type")
 
 
-@query("kg_05", f"WITH {SQL_LINKS}, known AS (SELECT lower(filename) AS file, arg_max(filename, doc_id) AS target FROM documents GROUP BY 1) SELECT document_id, target FROM (SELECT document_id, lower(regexp_extract(regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1)) || '.pdf' AS file FROM links) JOIN known USING (file)")
+@query("kg_05", f"WITH {SQL_LINKS}, known AS (SELECT regexp_replace(lower(filename), '_[0-9a-f]+[.]pdf$', '') AS file, arg_max(filename, doc_id) AS target FROM documents GROUP BY 1) SELECT document_id, target FROM (SELECT document_id, lower(regexp_extract(url, '/([^/]*)/[^/]*$', 1)) AS file FROM links) JOIN known USING (file)")
 def kg_05(spark, d):
-    """References by file name; the addresses of the test texts lack the extension, so it is added."""
-    named = links(spark, d).withColumn("url", F.concat(F.regexp_replace("url", "/+$", ""), F.lit(".pdf")))
-    return extract.from_links(named, table(spark, d, "documents")).select("document_id", "target")
+    """References by file name. Addresses in the test texts name a kind of document and a section, so the kind is
+    taken for the file and the numbers of stored names are left out."""
+    named = links(spark, d).withColumn("url", F.regexp_replace("url", "/[^/]*$", ""))
+    docs = table(spark, d, "documents").withColumn("stored", F.col("filename")).withColumn("filename", F.regexp_replace(F.lower("filename"), "_[0-9a-f]+[.]pdf$", ""))
+    last = docs.groupBy("filename").agg(F.max_by("stored", "doc_id").alias("stored"))
+    found = extract.from_links(named, docs).select("document_id", F.col("target").alias("filename"))
+    return found.join(last, "filename").select("document_id", F.col("stored").alias("target"))
 
 
 @query("kg_06", f"""SELECT id AS chunk_id, 'Date' AS entity_type, regexp_replace(regexp_replace(regexp_replace(m, '{WS}', '', 'g'), '[.\\-/]', '.', 'g'), '\\.+$', '') AS name FROM (SELECT id, unnest(regexp_extract_all(content, '{T.DATE}')[1:5]) AS m FROM text_chunks)
@@ -267,6 +271,16 @@ def kg_07(spark, d):
     return extract.Gazetteer(table(spark, d, "entities").filter("entity_type IS NOT NULL")).entities(table(spark, d, "text_chunks")).select("chunk_id", "name", "entity_type")
 
 
+@query("kg_15")
+def kg_15(spark, d):
+    """The whole build over all documents, by relation and extractor."""
+    from foliograph.plans.engine import Engine
+
+    engine = Engine(spark, d, extractor=extract.Gazetteer(table(spark, d, "entities").filter("entity_type IS NOT NULL")))
+    built = engine.build_knowledge(outlines=outlines(spark, d), links=links(spark, d))
+    return built["relations"].groupBy("relation_type", "extractor").agg(F.count("*").alias("n"), F.sum("evidence_count").alias("evidence"))
+
+
 # ---- resolution -------------------------------------------------------------------------------------------------
 
 
