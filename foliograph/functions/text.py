@@ -136,8 +136,11 @@ def raw_tokens(c: Column) -> Column:
 def normal_token(t: Column) -> Column:
     """Small letters; of a Korean word the first particle in order goes, if two letters stay."""
     low = F.lower(t)
-    fits = F.filter(F.array(*map(F.lit, PARTICLES)), lambda j: low.endswith(j) & (F.length(low) - F.length(j) >= 2))
-    return F.when(low.rlike("^[가-힣]") & (F.size(fits) > 0), F.substring(low, F.lit(1), F.length(low) - F.length(F.element_at(fits, 1)))).otherwise(low)
+    korean = (low >= "가") & (low < chr(0xD7A4))
+    out = F.when(~korean, low)
+    for p in PARTICLES:
+        out = out.when(low.endswith(p) & (F.length(low) >= len(p) + 2), F.substring(low, F.lit(1), F.length(low) - len(p)))
+    return out.otherwise(low)
 
 
 def tokens(c: Column) -> Column:

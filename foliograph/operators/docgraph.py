@@ -14,7 +14,8 @@ from foliograph.functions import text as T
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, term, n, first): counts of the normal tokens of documents (doc_id, text) and their first place."""
-    rows = docs.select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("at", "term"))
+    raw = docs.select("doc_id", F.posexplode(T.raw_tokens(F.col("text"))).alias("at", "raw"))
+    rows = raw.select("doc_id", "at", T.normal_token(F.col("raw")).alias("term")).filter((F.length("term") >= 2) & ~F.col("term").isin(T.STOP_WORDS))
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("at").alias("first"))
 
 

@@ -32,6 +32,17 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 30, dim: int = 64, bl
     return reduce(DataFrame.unionByName, [_block(spark, asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) if blocks > 1 else asked, rows, k, dim) for i in range(blocks)])
 
 
+def _best(s: np.ndarray, i: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the k best of each row, best first; only what reaches the k-th score is sorted."""
+    k = min(k, s.shape[1])
+    r, c = np.nonzero(s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k])
+    order = np.lexsort((i[r, c], -s[r, c], r))
+    r, c = r[order], c[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    r, c = r[keep], c[keep]
+    return s[r, c].reshape(len(s), k), i[r, c].reshape(len(s), k)
+
+
 def _block(spark, asked: DataFrame, rows: DataFrame, k: int, dim: int) -> DataFrame:
     t = asked.toArrow()
     sent = spark.sparkContext.broadcast((t["qid"].to_numpy(), _matrix(t["vec"].combine_chunks(), dim) if len(t) else np.zeros((0, dim))))
@@ -43,10 +54,9 @@ def _block(spark, asked: DataFrame, rows: DataFrame, k: int, dim: int) -> DataFr
             for at in range(0, len(whole), 4096):
                 b = whole.slice(at, 4096)
                 ids = b.column(0).to_numpy()
-                s = np.concatenate([best_s, np.round(q @ _matrix(b.column(1), dim).T, 9)], axis=1)
+                s = np.concatenate([best_s, (q @ _matrix(b.column(1), dim).T).round(9)], axis=1)
                 i = np.concatenate([best_i, np.broadcast_to(ids, (len(q), len(ids)))], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                best_s, best_i = _best(s, i, k)
         if best_s.size:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["qid", "row_id", "score"])
 
