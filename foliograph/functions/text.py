@@ -134,13 +134,14 @@ def raw_tokens(c: Column) -> Column:
 
 
 def normal_token(t: Column) -> Column:
-    """Small letters; of a Korean word the first particle in order goes, if two letters stay."""
-    low = F.lower(t)
-    korean = (low >= "가") & (low < chr(0xD7A4))
-    out = F.when(~korean, low)
+    """Small letters; of a Korean word the first particle in order goes, if two letters stay.
+
+    Hangul has no case, and a token that starts with it is nothing else, so only other tokens are lowered.
+    """
+    out = F.when(~((t >= "가") & (t < chr(0xD7A4))), F.lower(t))
     for p in PARTICLES:
-        out = out.when(low.endswith(p) & (F.length(low) >= len(p) + 2), F.substring(low, F.lit(1), F.length(low) - len(p)))
-    return out.otherwise(low)
+        out = out.when(t.endswith(p) & (F.length(t) >= len(p) + 2), F.substring(t, F.lit(1), F.length(t) - len(p)))
+    return out.otherwise(t)
 
 
 def tokens(c: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
+from foliograph.sources.tables import Scratch
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -63,13 +64,25 @@ def similar_by_vector(vectors: DataFrame, threshold: float, dim: int = 64, block
 
 
 def similar_by_terms(terms: DataFrame, missing: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sim): Jaccard similarity of the term sets of pairs of which one at least is in ``missing`` (doc_id)."""
-    size = terms.groupBy("doc_id").agg(F.count("*").alias("size"))
-    lone = terms.join(missing, "doc_id", "left_semi").select(F.col("doc_id").alias("x"), "term")
-    shared = lone.join(terms.select(F.col("doc_id").alias("y"), "term"), "term").filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "term").distinct()
-    n = shared.groupBy("a", "b").agg(F.count("*").alias("n"))
-    sized = n.join(size.toDF("a", "sa"), "a").join(size.toDF("b", "sb"), "b")
-    return sized.select("a", "b", (F.col("n") / (F.col("sa") + F.col("sb") - F.col("n"))).alias("sim")).filter(F.col("sim") >= threshold)
+    """(a, b, sim): Jaccard similarity of the term sets of pairs of which one at least is in ``missing`` (doc_id).
+
+    Sets alike enough share a term among the first of each, terms ordered by rarity: a set of n terms needs its
+    n - ceil(threshold * n) + 1 rarest. So frequent terms, which most sets share, join nothing; every candidate is verified.
+    """
+    rarity = document_frequency(terms)
+    sized = terms.select("doc_id", "term").join(rarity, "term")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "term"))
+    sized = sized.withColumn("place", place).withColumn("size", F.count("*").over(Window.partitionBy("doc_id")))
+    first = sized.filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("doc_id", "term")
+    lone = missing.select("doc_id").distinct().withColumn("lone", F.lit(True))
+    flagged = first.join(lone, "doc_id", "left")
+    x = flagged.filter("lone").select(F.col("doc_id").alias("x"), "term")
+    y = flagged.select(F.col("doc_id").alias("y"), "term", F.coalesce("lone", F.lit(False)).alias("also"))
+    met = x.join(y, "term").filter("x < y OR (x != y AND NOT also)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sets = terms.groupBy("doc_id").agg(F.collect_set("term").alias("s"))
+    both = met.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    n = F.size(F.array_intersect("sa", "sb"))
+    return both.select("a", "b", (n / (F.size("sa") + F.size("sb") - n)).alias("sim")).filter(F.col("sim") >= threshold)
 
 
 def capped(edges: DataFrame, most: int = 4) -> DataFrame:
@@ -95,6 +108,8 @@ def edges(vectors: DataFrame, terms: DataFrame, order: DataFrame, threshold: flo
 
     ``order`` (doc_id, seq) is the listing order of the documents; it settles ties.
     """
+    scratch = Scratch(vectors.sparkSession)  # both are read several times below
+    vectors, terms = scratch.put(vectors), scratch.put(terms)
     by_vector = similar_by_vector(vectors, threshold, dim).withColumn("basis", F.lit("embedding"))
     missing = order.select("doc_id").join(vectors.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
     by_terms = similar_by_terms(terms, missing, threshold).withColumn("basis", F.lit("keywords"))
