@@ -17,7 +17,7 @@ def documents(spark, rows, extra=""):
 
 
 @needs_vocabulary
-def test_merges_equal_the_reference_encoder():
+def test_merges_equal_another_encoder():
     ranks = tokenize.load_ranks(tokenize.DEFAULT_VOCABULARY)
     other = tiktoken.Encoding("t", pat_str=tokenize.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(1)
