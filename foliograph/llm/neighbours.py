@@ -30,7 +30,7 @@ SAMPLE = 32_768
 LIST_SIZE = 256
 MAX_LISTS = 4_096
 REPLICAS, CLOSURE = 3, 1.15
-PROBES, PRUNE = 5, 1.35
+PROBES, PRUNE = 7, 1.45
 
 
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 5, seed: int = 1) -> np.ndarray:
@@ -69,7 +69,7 @@ class CentroidGraph:
         step = max(1, k // max(1, int(2 * np.sqrt(k))))
         self.pivots = np.arange(0, k, step, dtype=np.int32)
 
-    def search(self, q: np.ndarray, width: int, hops: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, width: int, hops: int = 12) -> tuple[np.ndarray, np.ndarray]:
         """(ids, cosines) of about the ``width`` nearest centroids of each row, best first."""
         width = min(width, len(self.c))
         s = q @ self.c[self.pivots].T
