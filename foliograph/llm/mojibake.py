@@ -2,19 +2,22 @@
 
 Every distinct run of non-ASCII characters of the corpus is a word. Its garbled forms under all encoding chains make
 a table; the runs of each document that could be such a form are hash-joined against it. A document with a match
-is affected, and the matches name its chains. Restoring replaces each run of an affected document by the
-original that its chain leads back to, if garbling that original gives the run again; other runs stay.
+is affected, and the matches name its chains. Restoring joins the runs with the table again, with the clean words
+that the forms come from: a run is replaced by its word where only one word gives it and garbling that word gives the
+run again. Runs, lines and texts without such words are led back through the document's chains, if garbling gives
+them again; other runs stay.
 
 Words are taken from all documents, so a word needs one clean occurrence anywhere. Forms are compared by a 64-bit
 hash and then verified by garbling the word again. Word and form tables grow with the distinct runs, not the text.
 
 Defined cases: null and ASCII-only texts are never affected; letters and symbols that no chain leads to are no case;
-what a chain has lost (U+FFFD) is found but stays as it is; repeated rows are treated alike; extra columns are kept out.
+what a chain has lost (U+FFFD) is found, and put right where the table knows its only original; repeated rows are treated alike; extra columns are kept out.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -186,10 +189,77 @@ def affected(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return _tokens(df, id_col, text_col).join(table, "h").groupBy("id").agg(F.bit_or("chains").alias("chains"), F.countDistinct("h").alias("matches"))
 
 
-def restore_text(text: str, chains: int) -> str:
-    """``text`` with all runs put right that one of the chains (as bits) leads back from; longest spans first."""
+def _source_table(words: DataFrame) -> DataFrame:
+    """(h, chains, word): as the form table, with the word that each piece comes from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes, chains, sources = [], [], []
+            for w in b.column(0).to_pylist():
+                made: dict[str, int] = {}
+                for p, k in forms(w):
+                    made[p] = made.get(p, 0) | 1 << k
+                hashes += map(_hash, made)
+                chains += made.values()
+                sources += [w] * len(made)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(chains, pa.int32()), pa.array(sources, pa.string())], names=["h", "chains", "word"])
+
+    return words.mapInArrow(run, "h bigint, chains int, word string")
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """(h, chains, word, own) of (h, chains, word): with the word's own hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(_hash, b.column(2).to_pylist()), pa.int64())], names=["h", "chains", "word", "own"])
+
+    return rows.mapInArrow(run, "h bigint, chains int, word string, own bigint")
+
+
+def _matches(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(id, chains, originals): affected documents, a bit for each chain, and (h, chain, word) of each run and chain
+    with one clean source. A source is clean if it has lost nothing and is no garbled form of another word itself."""
+    tokens = scratch.put(_tokens(df, id_col, text_col))
+    met = scratch.put(_hashed(_source_table(_words(df, text_col)).join(tokens.select("h").distinct(), "h", "left_semi")))
+    # Every run of a document is a word, so a word that is a garbled form is among the runs that met the table.
+    clean = met.filter(~F.contains("word", F.lit("\ufffd"))).join(met.select(F.col("h").alias("own")).distinct(), "own", "left_anti")
+    each = clean.select("h", "word", F.explode(F.sequence(F.lit(0), F.lit(len(CHAINS) - 1))).alias("chain"), "chains").filter("(shiftright(chains, chain) & 1) = 1")
+    single = each.groupBy("h", "chain").agg(F.min("word").alias("word"), F.max("word").alias("last")).filter("word = last")
+    originals = single.groupBy("h").agg(F.collect_list(F.struct("h", "chain", "word")).alias("originals"))
+    table = met.groupBy("h").agg(F.bit_or("chains").alias("chains")).join(originals, "h", "left")
+    return tokens.join(table, "h").groupBy("id").agg(F.bit_or("chains").alias("chains"), F.flatten(F.collect_list("originals")).alias("originals"))
+
+
+def choose(originals: list[tuple[int, int, str]]) -> dict[int, tuple[str, list[int]]]:
+    """The word of each hash, and its chains, of (h, chain, word); words that differ by chain go to the chain with the most runs."""
+    weight = Counter(k for _, k, _ in originals)
+    by: dict[int, dict[str, list[int]]] = {}
+    for h, k, w in originals:
+        by.setdefault(h, {}).setdefault(w, []).append(k)
+    chosen = {}
+    for h, words in by.items():
+        ranked = sorted(((max(weight[k] for k in ks), w) for w, ks in words.items()), reverse=True)
+        if len(ranked) == 1 or ranked[0][0] > ranked[1][0]:
+            chosen[h] = ranked[0][1], words[ranked[0][1]]
+    return chosen
+
+
+def restore_text(text: str, chains: int, originals: list[tuple[int, int, str]] = ()) -> str:
+    """``text`` with all runs put right: by their original (h, chain, word) where one is known and gives the run again,
+    else by what one of the chains (as bits) leads back from, longest spans first."""
     own = [c for k, c in enumerate(CHAINS) if chains >> k & 1 and c != _LOSES]
     own.sort(key=len, reverse=True)
+    chosen = choose(originals)
+
+    def original(run: str) -> str | None:
+        word, ks = chosen.get(_hash(run), (None, ()))
+        return word if any(garble(word, CHAINS[k]) == run for k in ks) else None
+
+    def known(span: str) -> str | None:
+        """``span`` with each run replaced; None if one has no original."""
+        words = [original(r) for r in _RUN.findall(span)]
+        return None if None in words else _RUN.sub(lambda _, w=iter(words): next(w), span)
 
     def back(span: str) -> str | None:
         for c in own:
@@ -200,23 +270,23 @@ def restore_text(text: str, chains: int) -> str:
     def line(t: str) -> str:
         if t.isascii():
             return t
-        if (u := back(t)) is not None:
+        if (u := known(t) or back(t)) is not None:
             return u
-        return _RUN.sub(lambda m: back(m.group()) or m.group(), t)
+        return _RUN.sub(lambda m: original(m.group()) or back(m.group()) or m.group(), t)
 
-    return back(text) or "\n".join(line(t) for t in text.split("\n"))
+    return known(text) or back(text) or "\n".join(line(t) for t in text.split("\n"))
 
 
 def restored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, changed): the affected documents, put right as far as their chains lead back."""
+    """(id, text, changed): the affected documents, put right as far as words are known and their chains lead back."""
     scratch = Scratch(df.sparkSession)
-    hits = scratch.put(affected(df, id_col, text_col))
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(hits.select("id", "chains"), "id")
+    hits = scratch.put(_matches(df, id_col, text_col, scratch))
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(hits, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             old = b.column(1).to_pylist()
-            new = [restore_text(t, c) for t, c in zip(old, b.column(2).to_pylist())]
+            new = [restore_text(t, c, [(o["h"], o["chain"], o["word"]) for o in w or ()]) for t, c, w in zip(old, b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string()), pa.array([o != n for o, n in zip(old, new)])], names=["id", "text", "changed"])
 
     return rows.mapInArrow(run, "id bigint, text string, changed boolean")

@@ -157,3 +157,13 @@ def test_garbled_documents_are_found_and_restored(spark):
     assert set(got) == {10, 11, 16}
     assert got[10].text == clean[0][1] and got[11].text == "Der Plan wurde geändert, 보고서를 측정했다" and not got[16].changed
     assert mojibake.affected(df.limit(0)).count() == 0
+
+
+def test_lost_bytes_come_back_from_the_only_original(spark):
+    lost = "전환의".encode().decode("cp949", "replace")
+    assert "\ufffd" in lost and mojibake.ungarble(lost, ("utf-8", "cp949")) is None
+    twins = [chr(c) * 2 for c in (0xFC, 0xE9)]  # both lose all their bytes: no only original
+    rows = [(1, "디지털 전환의 시대"), (2, f"plan {lost} end\n{lost}"), (3, " ".join(twins)), (4, "a " + twins[0].encode("cp1252").decode("utf-8", "replace")), (5, f"시대 {lost}")]
+    got = {r.id: r for r in mojibake.restored(documents(spark, rows)).collect()}
+    assert set(got) == {2, 4, 5}
+    assert got[2].text == "plan 전환의 end\n전환의" and got[5].text == "시대 전환의" and not got[4].changed
