@@ -7,13 +7,17 @@ Relations: (document_id, stage, at, source, source_type, relation, target, targe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
+from foliograph.sources.tables import Scratch
 
 METADATA, OUTLINE, TABLE, LINK, DATE, METRIC = 0.95, 0.90, 0.75, 0.85, 0.80, 0.65
 
@@ -116,19 +120,96 @@ def from_chunks(chunks: DataFrame, most: int = 5, compat: bool = True) -> DataFr
     return entity(days, T.normal_date(F.col("found")), "Date", DATE, 0).unionByName(entity(sums, F.col("found"), "Metric", METRIC, 8))
 
 
+GRAM = 12  #: letters of a name's beginning that are looked for first
+_BITS = 1 << 24  #: of the filter that keeps keys of no name from the join
+_SLICE = 1 << 19  #: letters looked at in one go
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def _mixed(h: np.ndarray, n: int) -> np.ndarray:
+    x = (h ^ (h >> np.uint64(32)) ^ np.uint64(n)) * _MIX
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def _key(letters: np.ndarray) -> int:
+    """The 64-bit hash of a name."""
+    h = np.zeros(1, np.uint64)
+    for x in letters:
+        h = h * _BASE + x
+    return int(_mixed(h, len(letters))[0])
+
+
+def _places(letters: np.ndarray, lengths: set[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of all substrings of the lengths whose key is in ``bits``; from ``GRAM`` letters on, of those whose beginning is."""
+    at, h = np.arange(len(letters)), np.zeros(len(letters), np.uint64)
+    places, keys = [at[:0]], [np.zeros(0, np.int64)]
+    for n in range(1, max(lengths, default=0) + 1):
+        if len(at) and at[-1] + n > len(letters):
+            inside = np.searchsorted(at, len(letters) - n, "right")
+            at, h = at[:inside], h[:inside]
+        h = h * _BASE + (letters[n - 1 :][: len(at)] if n <= GRAM else letters[at + (n - 1)])
+        if n == GRAM or n in lengths:
+            k = _mixed(h, n)
+            met = bits[k & (_BITS - 1)]
+            if n in lengths:
+                places.append(at[met]), keys.append(k[met])
+            if n == GRAM:
+                at, h = at[met], h[met]
+    return np.concatenate(places), np.concatenate(keys)
+
+
 class Gazetteer:
     """Finds known names in chunks: the stand-in for a trained recogniser. ``names`` is (name, entity_type).
 
-    Names and texts meet in a join on the first token of a name, so neither side is broadcast unless Spark finds it small.
+    A name of 2 to 60 letters is found wherever a chunk contains it, inside words as well. Names and texts meet in a
+    join on the hash of the whole name, which a chunk looks for from every position; a bit filter of fixed size over
+    the hashes of names and of their beginnings is broadcast and holds back what is no name's. Every hit is verified.
+    Neither side is broadcast unless Spark finds it small.
     """
 
     def __init__(self, names: DataFrame, confidence: float = 0.5):
         self.names, self.confidence = names, confidence
 
     def entities(self, chunks: DataFrame) -> DataFrame:
-        known = self.names.filter(F.length("name").between(2, 60)).select("name", "entity_type", F.element_at(F.split("name", " "), 1).alias("first")).distinct()
-        words = chunks.select("id", F.explode(F.array_distinct(F.split(F.col("content"), T.WS))).alias("first")).filter("first != ''")
-        hits = words.join(known, "first").join(chunks, "id").filter(F.contains("content", "name"))
+        spark = chunks.sparkSession
+        known = self.names.filter(F.length("name").between(2, 60)).select("name", "entity_type").distinct()
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                names = [_letters(n) for n in b.column(0).to_pylist()]
+                keys, begun = [_key(x) for x in names], [_key(x[:GRAM]) for x in names]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64()), pa.array(begun, pa.int64()), pa.array(map(len, names), pa.int32())], names=["name", "entity_type", "key", "begun", "n"])
+
+        known = Scratch(spark).put(known.mapInArrow(keyed, "name string, entity_type string, key bigint, begun bigint, n int"))
+        bit = known.select(F.explode(F.array("key", "begun")).alias("key")).select(F.col("key").bitwiseAND(F.lit(_BITS - 1)).alias("bit"))
+        words = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits")).toArrow()
+        table = np.zeros(_BITS // 64, np.int64)
+        table[words["at"].to_numpy()] = words["bits"].to_numpy()
+        shared = spark.sparkContext.broadcast((table, {r.n for r in known.select("n").distinct().collect()}))
+
+        def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table, lengths = shared.value
+            bits = np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+            for b in batches:
+                ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+                ends = np.cumsum([len(t) + 1 for t in texts])
+                cuts = [0, *np.flatnonzero(np.diff(ends // _SLICE)) + 1, len(texts)]
+                for i, j in zip(cuts, cuts[1:]):
+                    # What runs across two texts here isn't contained in either and falls out when hits are verified.
+                    places, keys = _places(_letters("\0".join(texts[i:j])), lengths, bits)
+                    owner = np.searchsorted(ends[i:j] - (ends[i - 1] if i else 0), places, "right") + i
+                    order = np.lexsort((keys, owner))
+                    owner, keys = owner[order], keys[order]
+                    new = np.ones(len(keys), bool)
+                    new[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[owner[new]], pa.int64()), pa.array(keys[new], pa.int64())], names=["id", "key"])
+
+        starts = chunks.select(F.col("id").cast("bigint").alias("id"), F.col("content").cast("string").alias("content")).filter("id IS NOT NULL AND content IS NOT NULL").mapInArrow(sent, "id bigint, key bigint")
+        hits = starts.join(known.select("name", "entity_type", "key"), "key").join(chunks, "id").filter(F.contains("content", "name"))
         return hits.select(*_entity("document_id", 6, F.col("id"), F.col("name"), F.col("entity_type"), self.confidence, F.col("name"), F.col("page_number"), F.col("id"), "gazetteer")).distinct()
 
 

@@ -86,6 +86,20 @@ def test_chunk_entities(spark):
     assert {r.entity_type for r in rows} == {"Date", "Metric"} and all((r.page_number, r.chunk_id) == (3, 1) for r in rows)
 
 
+def test_known_names_against_contains(spark):
+    names = ["Thomas Hyomkwijyongju", "삼성전자", "東京", "Anna Berg", "Öl", "cat", "Anna", "x" * 61, "y", "𠮷野家 本店", "a b c d e f g h", "Paris, Texas Holding AG"]
+    texts = [
+        "月、Thomas Hyomkwijyongjuは来た", "“Anna Berg” (삼성전자가) 말했다", "新東京駅、Paris, Texas Holding AG.", "Joanna Berger and concatenate", "삼성전자,", "Öl", "昨日𠮷野家 本店に", "xa b c d e f g hi", "cat\nAnna\tBerg", "", None, "c a t", "x" * 70 + "y"
+    ]
+    chunks = spark.createDataFrame([(i, 7, 1, t) for i, t in enumerate(texts)] + [(0, 7, 1, texts[0])], "id bigint, document_id bigint, page_number int, content string")
+    known = spark.createDataFrame([(n, "Concept") for n in names] + [("cat", "Concept"), ("cat", "Product"), (None, "Concept")], "name string, entity_type string")
+    want = {(i, n, "Concept") for i, t in enumerate(texts) for n in names if t and 2 <= len(n) <= 60 and n in t}
+    want |= {(i, n, "Product") for i, n, _ in want if n == "cat"}
+    got = [(r.chunk_id, r.name, r.entity_type) for r in extract.Gazetteer(known).entities(chunks).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 14
+    assert extract.Gazetteer(known.limit(0)).entities(chunks).count() == 0 and extract.Gazetteer(known).entities(chunks.limit(0)).count() == 0
+
+
 def test_degree_cap_against_a_greedy_pass(spark):
     rng = random.Random(7)
     for k in (1, 2, 4):
