@@ -9,7 +9,7 @@ from foliograph.operators import docgraph
 from foliograph.plans.registry import query
 from foliograph.plans.texts import SQL_TERMS, _docs
 from foliograph.plans.vectors import SQL_CENTROIDS, document_vectors
-from foliograph.sources.tables import table
+from foliograph.sources.tables import Scratch, table
 
 THRESHOLD = 0.35
 
@@ -58,6 +58,13 @@ def agg_20(spark, d):
     return docgraph.similar_by_terms(t, few, 0.05).select(F.col("a").alias("doc_id"), F.col("b").alias("other"), F.round("sim", 6).alias("sim"))
 
 
+@query("agg_20_all")
+def agg_20_all(spark, d):
+    """Keyword overlap of all documents with all; agg_20 has the part that its SQL states."""
+    t = Scratch(spark).put(terms(spark, d).select("doc_id", "term", "score"))
+    return docgraph.similar_by_terms(t, t, 0.05).select(F.col("a").alias("doc_id"), F.col("b").alias("other"), F.round("sim", 6).alias("sim"))
+
+
 def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
     return document_vectors(spark, d).select(F.col("document_id").alias("id"), F.col("centroid").alias("vec"))
 

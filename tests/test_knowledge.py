@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliograph.operators import docgraph, extract, geometry, harness, lifecycle, relations, resolve, search, summary
 from foliograph.operators.catalog import merged_entities
 from foliograph.operators.ontology import Ontology, violations, with_validity
+from foliograph.plans import registry
 from foliograph.sources import files
 
 TRIPLES = [
@@ -125,6 +126,18 @@ def test_similar_by_vector_against_all_pairs(spark):
     assert {(r.a, r.b) for r in docgraph.similar_by_vector(df, 0.5, 8, block=40).collect()} == want
 
 
+def test_keyword_overlap_of_all_documents_against_all_pairs(spark, tmp_path):
+    rng = random.Random(9)
+    words = [f"term{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    rows = [(i, " ".join(rng.sample(words, rng.randint(3, 25)))) for i in range(1, 48)] + [(48, ""), (49, None)]  # none divisible by 50
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: set(t.split()) for i, t in rows if t}
+    sims = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    want = {k: round(s, 6) for k, s in sims.items() if s >= 0.05}
+    got = registry.queries()["agg_20_all"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.other): r.sim for r in got} == pytest.approx(want) and len(got) == len(want) > 500
+
+
 def test_resolution(spark):
     c = spark.createDataFrame([("AI", "Concept", 1), ("ai", "Concept", 2), ("a i", "Concept", 3), ("ai", "Concept", 4), ("AI", "Product", 5)], "name string, entity_type string, seq int")
     assert {(r.name, r.entity_type): r.canonical for r in resolve.by_spelling(c).collect()} == {("AI", "Concept"): "ai", ("ai", "Concept"): "ai", ("a i", "Concept"): "ai", ("AI", "Product"): "AI"}
