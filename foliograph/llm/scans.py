@@ -221,7 +221,7 @@ class Reader:
             before = _BEFORE.search(text[max(0, m.start() - 40) : m.start()])
             cut = cut or before is not None and self.broken(before[0], m[1], m[2])
         whole = _HYPHEN.sub(r"\2", text) if cut else text
-        misread = any(sign in whole and p.search(whole) for sign, p in _SURE) or any(self.correction(w) for w in set(_WORD.findall(whole)) if w not in self.counts or self.counts[w] < 5000)
+        misread = any(sign in whole and p.search(whole) for sign, p in _SURE) or any(self.correction(w) for w in set(_WORD.findall(whole)))
         return cut + 2 * misread
 
 

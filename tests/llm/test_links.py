@@ -142,3 +142,9 @@ def test_scan_noise_kinds(spark):
     assert text[n + 2] == "The quarterly committee measured the northern warehouse."
     assert "Annual" not in text[1] and "- 1 -" not in text[1]
     assert scans.noise(df.limit(0)).count() == 0
+
+
+def test_frequent_words_are_tested_for_misreading():
+    reader = scans.Reader({"rnarks": 5_000, "marks": 60_000, "plain": 9_000})
+    assert reader.flags("the rnarks are plain") == 2 and reader.flags("the marks are plain") == 0
+    assert scans.reassemble("the rnarks are plain", ["body"], reader) == ["the marks are plain"]
