@@ -189,7 +189,32 @@ def test_scan_noise_kinds(spark):
     assert scans.noise(df.limit(0)).count() == 0
 
 
-def test_frequent_words_are_tested_for_misreading():
-    reader = scans.Reader({"rnarks": 5_000, "marks": 60_000, "plain": 9_000})
-    assert reader.flags("the rnarks are plain") == 2 and reader.flags("the marks are plain") == 0
-    assert scans.reassemble("the rnarks are plain", ["body"], reader) == ["the marks are plain"]
+def _fixed(spark, counts):
+    return {r.w: r.u for r in scans.corrections(spark.createDataFrame(list(counts.items()), "w string, n bigint")).collect()}
+
+
+def test_misreading_is_a_ratio_at_every_size(spark):
+    counts = {"rnarks": 40, "marks": 480, "plain": 9_000, "cat": 30, "eat": 359, "sornehow": 0, "somehow": 12, "rnice": 1, "mice": 11, "x" * 300 + "rn": 1, "123": 1}
+    for times in (1, 100, 10_000):
+        grown = {w: n * times for w, n in counts.items()}
+        want = {"rnarks": "marks", "sornehow": "somehow"}
+        assert _fixed(spark, grown) == want
+    assert _fixed(spark, {"rnarks": 40, "marks": 479}) == {}
+    assert scans.reassemble("the rnarks are plain", ["body"], {"rnarks": "marks"}, set()) == ["the marks are plain"]
+
+
+def test_flags_stay_when_rows_recur(spark):
+    line = "The committee stored the printed remarks of the northern warehouse"
+    rows = [(i, i, 1, f"{line} number {i}.") for i in range(40)] + [(50, 50, 1, line.replace("remarks", "rernarks") + "."), (51, 51, 1, line.replace("printed", "prin-\nted") + "."), (52, 52, 1, "A well-\nknown well-known well-known fact.")]
+    want = {(50, "misread"), (51, "broken_word")}
+    for times in (1, 100):
+        df = spark.createDataFrame([(i + 1000 * k, d + 1000 * k, p, t) for k in range(times) for i, d, p, t in rows], "id bigint, document_id bigint, page_number int, content string")
+        assert {(r.chunk_id % 1000, r.noise) for r in scans.noise(df).collect()} == want
+
+
+def test_long_running_lines(spark):
+    head = "Proceedings of the Regional Commission for Inland Waterways and Reservoir Maintenance · Volume Fourteen of Records"
+    assert len(head) > 109
+    rows = [(10 * d + p, d, p, f"{head}\nSome text of its own stands here {d * 17 + p}.\nAnd more of it follows below.") for d in range(1, 6) for p in range(1, 4)]
+    df = spark.createDataFrame(rows, "id bigint, document_id bigint, page_number int, content string")
+    assert {(r.chunk_id, r.noise) for r in scans.noise(df).collect()} == {(r[0], "running_line") for r in rows}
