@@ -8,7 +8,13 @@ run again. Runs, lines and texts without such words are led back through the doc
 them again; other runs stay.
 
 Words are taken from all documents, so a word needs one clean occurrence anywhere. Forms are compared by a 64-bit
-hash and then verified by garbling the word again. Word and form tables grow with the distinct runs, not the text.
+hash; restoring garbles the word again before it is put in place. Word and form tables grow with the distinct runs,
+not the text.
+
+Between two double-byte encodings (``_MUTUAL``) every text is a form of some other text, and the way back is a chain as
+well. There a form counts only if its word stands in at least ``CLEANER`` times as many documents as the form itself, and a
+document is affected by such forms alone only if they have ``EVIDENCE`` characters together. A single letter inside an
+ASCII word ("jalape" + one Han sign + "o") is no run of its own length and isn't decided.
 
 Defined cases: null and ASCII-only texts are never affected; letters and symbols that no chain leads to are no case;
 what a chain has lost (U+FFFD) is found, and put right where the table knows its only original; repeated rows are treated alike; extra columns are kept out.
@@ -52,8 +58,22 @@ CHAINS: tuple[tuple[str, ...], ...] = (
     ("euc_jp", "1cp1252"),
     ("1cp874", "latin-1"),
     ("1cp874", "1cp1252"),
+    ("utf-8", "big5"),
+    ("cp949", "gbk"),
+    ("gbk", "cp949"),
+    ("shift_jis", "gbk"),
+    ("gbk", "shift_jis"),
+    ("shift_jis", "cp949"),
+    ("cp949", "shift_jis"),
+    ("euc_jp", "gbk"),
+    ("big5", "gbk"),
+    ("gbk", "big5"),
 )
-_MULTI = {"cp949", "gbk", "shift_jis", "euc_jp", "1cp874"}
+_DOUBLE = {"cp949", "gbk", "shift_jis", "euc_jp", "big5"}
+_MULTI = _DOUBLE | {"1cp874"}
+#: Bits of the chains between double-byte encodings.
+_MUTUAL = sum(1 << k for k, c in enumerate(CHAINS) if c[0] in _DOUBLE and c[-1] in _DOUBLE)
+CLEANER, EVIDENCE = 3, 6
 #: Of this chain only what it loses can be told from text; read the other way round it would garble.
 _LOSES = ("1cp1252", "utf-8")
 _RUN = re.compile(r"[^\x00-\x7f]+")
@@ -110,15 +130,6 @@ def ungarble(text: str, chain: tuple[str, ...]) -> str | None:
     return start if garble(start, chain) == text else None
 
 
-def _high_half() -> str:
-    chars = {c for name in ("1cp1252", "1cp1251", "mac_roman", "cp437", "latin-1") for b in range(128, 256) for c in (_decode(bytes([b]), name) or "")}
-    return "".join(re.escape(c) for c in sorted(chars))
-
-
-#: What a form can look like: characters of single-byte pages only, or lost ones, or Hangul or kana beside Han.
-_COULD_BE = re.compile(f"[{_high_half()}]{{2,}}|.*�.*|(?=.*[一-鿿豈-﫿㈀-㏿])(?=.*[가-힣｡-ﾟ]).*", re.S)
-
-
 def pieces_of(form: str) -> list[str]:
     """The non-ASCII runs of a garbled form that are long enough to tell."""
     return [p for p in _RUN.findall(form) if len(p) >= 2 or "\ufffd" in p]
@@ -132,7 +143,7 @@ def forms(word: str) -> Iterator[tuple[str, int]]:
         form = garble(word, chain)
         if form and form != word:
             for p in set(pieces_of(form)):
-                if (chain[0] not in _MULTI or len(p) >= 3) and (chain != _LOSES or "\ufffd" in p) and _COULD_BE.fullmatch(p):
+                if (chain[0] not in _MULTI or len(p) >= 3) and (chain != _LOSES or "\ufffd" in p):
                     yield p, k
 
 
@@ -141,94 +152,114 @@ def _hash(s: str) -> int:
 
 
 def _words(df: DataFrame, text_col: str) -> DataFrame:
-    """(word): every distinct non-ASCII run of the corpus."""
+    """(word, n): every distinct non-ASCII run of the corpus and the number of rows it stands in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: set[str] = set()
+            found: Counter = Counter()
             for t in b.column(0).to_pylist():
-                found.update(_RUN.findall(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["word"])
+                found.update(set(_RUN.findall(t)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
-    return df.select(F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL").mapInArrow(run, "word string").distinct()
+    rows = df.select(F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+    return rows.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _form_table(words: DataFrame) -> DataFrame:
-    """(h, chains): hash of a piece of a garbled form and a bit for each chain that makes it."""
+    """(h, chains, own): hash of a piece of a garbled form, a bit for each chain that makes it, and the number of rows
+    that hold the piece, where it may be a form between double-byte encodings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made: dict[str, int] = {}
-            for w in b.column(0).to_pylist():
+            made: dict[str, list[int]] = {}
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for p, k in forms(w):
-                    made[p] = made.get(p, 0) | 1 << k
-            yield pa.RecordBatch.from_arrays([pa.array([_hash(p) for p in made], pa.int64()), pa.array(list(made.values()), pa.int32())], names=["h", "chains"])
-
-    return words.mapInArrow(run, "h bigint, chains int")
+                    row = made.setdefault(p, [0, 0, 0])
+                    row[0] |= 1 << k
+                    if _MUTUAL >> k & 1:
+                        row[1] = max(row[1], n)
+                if len(w) >= 3 and any(c >= "\u2e80" for c in w):
+                    row = made.setdefault(w, [0, 0, 0])
+                    row[2] = max(row[2], n)
+            cols = list(zip(*made.values())) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array([_hash(p) for p in made], pa.int64()), *(pa.array(c, pa.int64()) for c in cols)], names=["h", "chains", "source", "own"])
+
+    made = words.mapInArrow(run, "h bigint, chains bigint, source bigint, own bigint")
+    each = made.groupBy("h").agg(F.bit_or("chains").alias("chains"), F.max("source").alias("source"), F.max("own").alias("own"))
+    clear = F.lit(~_MUTUAL).cast("bigint")
+    return each.select("h", F.when(F.col("source") >= CLEANER * F.col("own"), F.col("chains")).otherwise(F.col("chains").bitwiseAND(clear)).alias("chains"), "own").filter("chains != 0")
 
 
 def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h): the distinct runs of each document that could be a garbled form."""
+    """(id, h, size): the distinct runs of each document and their lengths."""
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hashes = [], []
+            ids, hashes, sizes = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for r in set(_RUN.findall(t)):
-                    if (len(r) >= 2 or r == "\ufffd") and _COULD_BE.fullmatch(r):
-                        ids.append(i), hashes.append(_hash(r))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], names=["id", "h"])
+                    if len(r) >= 2 or r == "\ufffd":
+                        ids.append(i), hashes.append(_hash(r)), sizes.append(len(r))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int32())], names=["id", "h", "size"])
+
+    return rows.mapInArrow(run, "id bigint, h bigint, size int")
 
-    return rows.mapInArrow(run, "id bigint, h bigint")
+
+def _judged(tokens: DataFrame, table: DataFrame) -> DataFrame:
+    """(id, chains, matches) of the affected documents."""
+    clear = F.col("chains").bitwiseAND(F.lit(~_MUTUAL).cast("bigint"))
+    met = tokens.join(table.select("h", "chains"), "h").dropDuplicates(["id", "h"])
+    each = met.groupBy("id").agg(
+        F.bit_or("chains").alias("chains"), F.bit_or(clear).alias("clear"), F.sum(F.when(clear == 0, F.col("size")).otherwise(0)).alias("evidence"), F.count("*").alias("matches")
+    )
+    enough = F.col("evidence") >= EVIDENCE
+    return each.filter(enough | (F.col("clear") != 0)).select("id", F.when(enough, F.col("chains")).otherwise(F.col("clear")).alias("chains"), "matches")
 
 
 def affected(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, chains, matches): documents with a garbled form, a bit for each chain, and how many distinct runs match."""
-    table = _form_table(_words(df, text_col))
-    return _tokens(df, id_col, text_col).join(table, "h").groupBy("id").agg(F.bit_or("chains").alias("chains"), F.countDistinct("h").alias("matches"))
+    return _judged(_tokens(df, id_col, text_col), _form_table(_words(df, text_col)))
 
 
 def _source_table(words: DataFrame) -> DataFrame:
-    """(h, chains, word): as the form table, with the word that each piece comes from."""
+    """(h, made, word, n, self): every piece of a form with its chains, its word, the word's count and its own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, chains, sources = [], [], []
-            for w in b.column(0).to_pylist():
+            out = []
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 made: dict[str, int] = {}
                 for p, k in forms(w):
                     made[p] = made.get(p, 0) | 1 << k
-                hashes += map(_hash, made)
-                chains += made.values()
-                sources += [w] * len(made)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(chains, pa.int32()), pa.array(sources, pa.string())], names=["h", "chains", "word"])
-
-    return words.mapInArrow(run, "h bigint, chains int, word string")
-
-
-def _hashed(rows: DataFrame) -> DataFrame:
-    """(h, chains, word, own) of (h, chains, word): with the word's own hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(_hash, b.column(2).to_pylist()), pa.int64())], names=["h", "chains", "word", "own"])
+                own = _hash(w)
+                out += [(_hash(p), c, w, n, own) for p, c in made.items()]
+            cols = list(zip(*out)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["h", "made", "word", "n", "self"])
 
-    return rows.mapInArrow(run, "h bigint, chains int, word string, own bigint")
+    return words.mapInArrow(run, "h bigint, made bigint, word string, n bigint, self bigint")
 
 
 def _matches(df: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(id, chains, originals): affected documents, a bit for each chain, and (h, chain, word) of each run and chain
     with one clean source. A source is clean if it has lost nothing and is no garbled form of another word itself."""
-    tokens = scratch.put(_tokens(df, id_col, text_col))
-    met = scratch.put(_hashed(_source_table(_words(df, text_col)).join(tokens.select("h").distinct(), "h", "left_semi")))
+    words = scratch.put(_words(df, text_col))
+    table = _form_table(words)
+    tokens = _tokens(df, id_col, text_col).join(table, "h")
+    tokens = scratch.put(tokens)
+    judged = scratch.put(_judged(tokens.select("id", "h", "size"), tokens.select("h", "chains").distinct()))
+    wanted = tokens.join(judged.select("id"), "id", "left_semi").select("h", "chains", "own").distinct()
+    clear = F.lit(~_MUTUAL).cast("bigint")
+    allowed = F.when(F.col("n") >= CLEANER * F.col("own"), F.col("made")).otherwise(F.col("made").bitwiseAND(clear))
+    met = scratch.put(_source_table(words).join(wanted, "h").select("h", F.col("chains").bitwiseAND(allowed).alias("chains"), "word", "self").filter("chains != 0"))
     # Every run of a document is a word, so a word that is a garbled form is among the runs that met the table.
-    clean = met.filter(~F.contains("word", F.lit("\ufffd"))).join(met.select(F.col("h").alias("own")).distinct(), "own", "left_anti")
+    clean = met.filter(~F.contains("word", F.lit("\ufffd"))).join(met.select(F.col("h").alias("self")).distinct(), "self", "left_anti")
     each = clean.select("h", "word", F.explode(F.sequence(F.lit(0), F.lit(len(CHAINS) - 1))).alias("chain"), "chains").filter("(shiftright(chains, chain) & 1) = 1")
     single = each.groupBy("h", "chain").agg(F.min("word").alias("word"), F.max("word").alias("last")).filter("word = last")
     originals = single.groupBy("h").agg(F.collect_list(F.struct("h", "chain", "word")).alias("originals"))
-    table = met.groupBy("h").agg(F.bit_or("chains").alias("chains")).join(originals, "h", "left")
-    return tokens.join(table, "h").groupBy("id").agg(F.bit_or("chains").alias("chains"), F.flatten(F.collect_list("originals")).alias("originals"))
+    found = tokens.select("id", "h").distinct().join(originals, "h").groupBy("id").agg(F.flatten(F.collect_list("originals")).alias("originals"))
+    return judged.join(found, "id", "left").select("id", "chains", "originals")
 
 
 def choose(originals: list[tuple[int, int, str]]) -> dict[int, tuple[str, list[int]]]:

@@ -167,3 +167,17 @@ def test_lost_bytes_come_back_from_the_only_original(spark):
     got = {r.id: r for r in mojibake.restored(documents(spark, rows)).collect()}
     assert set(got) == {2, 4, 5}
     assert got[2].text == "plan 전환의 end\n전환의" and got[5].text == "시대 전환의" and not got[4].changed
+
+
+def test_forms_of_han_and_hangul_alone(spark):
+    ko = "보고서를 측정했다 그리고 위원회가 승인했다 전시를 확대했다"
+    zh = "数据处理 的 检查表 由 委员会 批准"
+    rows = [(i, ko + f" {i}") for i in range(4)] + [(10 + i, zh + f" {i}") for i in range(4)]
+    rows += [(20, ko.encode("cp949").decode("gbk")), (21, zh.encode("gbk").decode("cp949", "replace")), (22, "a " + "数据处理".encode().decode("gbk") + " b")]
+    rows += [(30, "数据"), (31, "측정했다 보고서를"), (32, "茅"), (33, None)]
+    assert "\ufffd" not in rows[-5][1] and all("一" <= c <= "鿿" for c in rows[8][1] if c > "z")
+    got = {r.id: r for r in mojibake.restored(documents(spark, rows)).collect()}
+    assert set(got) == {20, 21, 22}
+    assert got[20].text == ko and got[22].text == "a 数据处理 b"
+    once = {r.id for r in mojibake.affected(documents(spark, [*rows, *rows])).collect()}
+    assert once == {20, 21, 22}
