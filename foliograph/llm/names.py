@@ -8,9 +8,11 @@ a key: core, common part, number.
 
 Keys with the same common part and number are compared where their cores collide: MinHash over padded 3-grams in
 ``BANDS`` bands of ``ROWS``. Collision curve 1 - (1 - s**3)**24: 0.9998 at s = 0.7 (one edit in a name of usual length),
-0.96 at 0.5 (two edits), 0.04 at the 0.12 that unrelated names have. Candidates are verified by the Monge-Elkan
-similarity of their tokens (Jaro-Winkler inside) and at most two edits of the core, one below ten letters. Star clustering takes keys by
-falling weight: a key joins its heaviest neighbour that is a centre. Keys of one entity tie their clusters together.
+0.96 at 0.5 (two edits), 0.04 at the 0.12 that unrelated names have. Below ``SHORT`` letters one edit leaves too few 3-grams
+for the curve; there cores meet exactly, under what is left with one letter taken out. Candidates are verified by the Monge-Elkan
+similarity of their tokens (Jaro-Winkler inside) and by edits of the core: two from ten letters up, one from four, none below.
+Star clustering takes keys by falling weight: a key joins its heaviest neighbour that is a centre. Keys of one entity
+tie their clusters together.
 A key without a full given name or kind counts only for entities that have nothing better, and only if a single
 cluster of the core agrees with it.
 
@@ -35,6 +37,8 @@ from foliograph.sources.tables import Scratch
 
 BANDS, ROWS, Q = 24, 3, 3
 SIMILAR, EDITS = 0.88, 2
+#: Cores of fewer letters meet by deletion neighbourhoods.
+SHORT = 6
 #: A token is common if it stands beside that many different tokens: at least, and as a share of the entities.
 COMMON_LEAST, COMMON_SHARE = 6, 3e-4
 
@@ -83,7 +87,7 @@ def parse(spelling: str, common: set[str]) -> tuple[str, str, str, bool] | None:
             rest.append(t)
         else:
             core.append(romanise(t))
-    if sum(map(len, core)) < 3:
+    if not core:
         return None
     full = sorted(t for t in rest if len(t) > 1 or is_hangul(t))
     return "".join(core), " ".join(full or sorted(rest)), " ".join(number), any(map(is_hangul, found))
@@ -139,6 +143,12 @@ def edits(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
+def allowed(a: str, b: str) -> int:
+    """Edits between two cores of one name."""
+    n = min(len(a), len(b))
+    return EDITS if n >= 10 else 1 if n >= 4 else 0
+
+
 def grams(core: str) -> list[str]:
     padded = "#" * (Q - 1) + core + "#" * (Q - 1)
     return [padded[i : i + Q] for i in range(len(padded) - Q + 1)]
@@ -193,22 +203,15 @@ def _common_tokens(spelled: DataFrame, n: int) -> set[str]:
     return set(beside.filter(F.col("count") >= max(COMMON_LEAST, n * COMMON_SHARE)).toArrow()["t"].to_pylist())
 
 
-def _translation(parsed: DataFrame, n: int) -> dict[str, str]:
-    """Common parts by the form that stands for them: the Latin one most often beside the same Hangul one."""
+def _translation(parsed: DataFrame, n: int) -> DataFrame:
+    """(rest, form): common parts and what stands for them, the Latin form most often beside the same Hangul one."""
     parts = parsed.filter("rest != '' AND NOT (length(rest) <= 3 AND rest RLIKE '^[a-z]( [a-z])*$')").select("id", "rest", "num", "hangul").distinct()
     latin, hangul = parts.filter("NOT hangul"), parts.filter("hangul").withColumnRenamed("rest", "other").drop("hangul")
-    pairs = latin.join(hangul, ["id", "num"]).groupBy("rest", "other").agg(F.countDistinct("id").alias("n"))
-    found = pairs.filter(F.col("n") >= max(2, n * 1e-5)).toArrow().to_pylist()
-    to: dict[str, tuple[int, str]] = {}
-    back: dict[str, tuple[int, str]] = {}
-    total: dict[str, int] = {}
-    for r in found:
-        total[r["rest"]] = total.get(r["rest"], 0) + r["n"]
-        to[r["rest"]] = max(to.get(r["rest"], (0, "")), (r["n"], r["other"]))
-        back[r["other"]] = max(back.get(r["other"], (0, "")), (r["n"], r["rest"]))
-    out = {h: x for h, (_, x) in back.items()}
-    out |= {x: back[h][1] for x, (k, h) in to.items() if k * 2 > total[x]}
-    return out
+    pairs = latin.join(hangul, ["id", "num"]).groupBy("rest", "other").agg(F.countDistinct("id").alias("n")).filter(F.col("n") >= max(2, n * 1e-5))
+    back = pairs.groupBy("other").agg(F.max(F.struct("n", "rest")).alias("best")).select("other", F.col("best.rest").alias("form"))
+    most = pairs.groupBy("rest").agg(F.max(F.struct("n", "other")).alias("best"), F.sum("n").alias("total")).filter(F.col("best.n") * 2 > F.col("total"))
+    to = most.select("rest", F.col("best.other").alias("other")).join(back, "other").select("rest", "form")
+    return to.unionByName(back.withColumnRenamed("other", "rest").join(to, "rest", "left_anti"))
 
 
 def same_entities(entities: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
@@ -226,15 +229,10 @@ def same_entities(entities: DataFrame, mentions: DataFrame | None = None) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()))], names=["id", "core", "rest", "num", "hangul"])
 
     parsed = scratch.put(spelled.mapInArrow(read, "id bigint, core string, rest string, num string, hangul boolean").distinct())
-    words = spark.sparkContext.broadcast(_translation(parsed, n))
-
-    def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rest = [words.value.get(r, r) for r in b.column(2).to_pylist()]
-            weak = [r == "" or all(len(t) == 1 for t in r.split()) and not is_hangul(r) for r in rest]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rest, pa.string()), b.column(3), pa.array(weak)], names=["id", "core", "rest", "num", "weak"])
-
-    keyed = scratch.put(parsed.mapInArrow(translate, "id bigint, core string, rest string, num string, weak boolean").distinct().withColumn("key", F.xxhash64("core", "rest", "num")))
+    words = scratch.put(_translation(parsed, n))
+    form = F.coalesce("form", "rest")
+    keyed = parsed.join(words, "rest", "left").select("id", "core", form.alias("rest"), "num", form.rlike("^([^가-힣 ]( [^가-힣 ])*)?$").alias("weak")).distinct()
+    keyed = scratch.put(keyed.withColumn("key", F.xxhash64("core", "rest", "num")))
     keys = scratch.put(keyed.filter("NOT weak").groupBy("key").agg(F.first("core").alias("core"), F.first("rest").alias("rest"), F.first("num").alias("num"), F.count("*").alias("weight")))
     centre = scratch.put(_stars(keys, _similar(keys)))
     strong = keyed.filter("NOT weak").select("id", "key").join(centre, "key", "left").select("id", F.coalesce("centre", "key").alias("c")).distinct()
@@ -254,10 +252,15 @@ def _similar(keys: DataFrame) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, core, rest, num = (c.to_pylist() for c in b.columns)
-            kept = [i for i, c in enumerate(core) if len(c) >= 6]
+            blocks = [f"{r}|{x}" for r, x in zip(rest, num)]
+            kept = [i for i, c in enumerate(core) if len(c) >= SHORT]
             if kept:
-                h = bands([core[i] for i in kept], [f"{rest[i]}|{num[i]}" for i in kept])
+                h = bands([core[i] for i in kept], [blocks[i] for i in kept])
                 yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), pa.array(np.repeat(np.array([key[i] for i in kept], np.int64), BANDS))], names=["band", "key"])
+            # One edit from a core of SHORT letters leads to one of SHORT - 1, so that length stands on both sides.
+            left = [(xxhash.xxh64_intdigest(f"{x}|{blocks[i]}") - (1 << 63), key[i]) for i, c in enumerate(core) if len(c) <= SHORT for x in {c[:j] + c[j + 1 :] for j in range(len(c))} | {c}]
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in left], pa.int64()), pa.array([x[1] for x in left], pa.int64())], names=["band", "key"])
 
     # Both sides are the same exchange; what the check needs is fetched for the pairs that met.
     placed = keys.select("key", "core", "rest", "num").mapInArrow(place, "band bigint, key bigint")
@@ -269,7 +272,7 @@ def _similar(keys: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             x, y, r = (t.column(i).to_pylist() for i in (2, 3, 4))
-            ok = [edits(p, q, most := EDITS if min(len(p), len(q)) >= 10 else 1) <= most and monge_elkan([p, *s.split()], [q, *s.split()]) >= SIMILAR for p, q, s in zip(x, y, r)]
+            ok = [edits(p, q, most := allowed(p, q)) <= most and monge_elkan([p, *s.split()], [q, *s.split()]) >= SIMILAR for p, q, s in zip(x, y, r)]
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(5), t.column(6)], names=["a", "b", "wa", "wb"]).filter(pa.array(ok))
 
     return met.mapInArrow(verify, "a bigint, b bigint, wa bigint, wb bigint")
@@ -292,10 +295,14 @@ def _stars(keys: DataFrame, similar: DataFrame) -> DataFrame:
 
 def _weak(keyed: DataFrame, strong: DataFrame, keys: DataFrame, centre: DataFrame) -> DataFrame:
     """(id, c) of entities without a full key: the cluster of their core that alone agrees in number and initial."""
-    lone = keyed.filter("weak").join(strong.select("id").distinct(), "id", "left_anti").select("id", "core", "rest", "num")
+    lone = keyed.filter("weak").join(strong.select("id").distinct(), "id", "left_anti").select("id", "core", "rest", "num", F.substring("rest", 1, 1).alias("initial"))
     full = keys.join(centre, "key", "left").select(F.coalesce("centre", "key").alias("c"), "core", F.col("rest").alias("full"), "num")
-    agrees = (F.col("rest") == "") | F.array_contains(F.transform(F.split("full", " "), lambda t: F.substring(t, 1, 1)), F.substring("rest", 1, 1))
-    found = lone.join(full, ["core", "num"]).filter(agrees).groupBy("id").agg(F.countDistinct("c").alias("k"), F.min("c").alias("c")).filter("k = 1").select("id", "c")
+    # One row for each core, number and initial ("" for all) before anything meets, so a common core costs no product.
+    initials = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.split("full", " "), lambda t: F.substring(t, 1, 1))))
+    each = full.select("core", "num", F.explode(initials).alias("initial"), "c").groupBy("core", "num", "initial").agg(F.min("c").alias("c"), F.max("c").alias("last"))
+    met = lone.join(each.filter("c = last").drop("last"), ["core", "num", "initial"]).groupBy("id").agg(F.min("c").alias("c"), F.max("c").alias("last"))
+    unsure = lone.join(each.filter("c != last").drop("c", "last"), ["core", "num", "initial"], "left_semi").select("id").distinct()
+    found = met.filter("c = last").select("id", "c").join(unsure, "id", "left_anti")
     own = lone.join(found, "id", "left_anti").select("id", F.xxhash64("core", "rest", "num").alias("c"))
     return found.unionByName(own)
 
