@@ -1,13 +1,14 @@
 """Filling of containers of fixed capacity with documents, sizes in tokens.
 
-Lexical retrieval packing: items are laid in shards of about ``SHARD`` by the least hash of their words, so that texts
-with words in common tend to meet, and a hot group of like texts is cut by id. Each shard has an inverted BM25 index.
-Seeds are taken by falling size; the index returns the seed's unused neighbours and the best that fit fill its
-window, as long as they don't leave a gap that no item closes; the last gap goes to the item that fills it best.
+Lexical retrieval packing: items are laid in shards of about ``SHARD`` by the hash of the least hash of their words, so that
+texts with words in common tend to meet, and a hot group of like texts is cut by the hash of the id. Each shard has an
+inverted BM25 index. Seeds are taken by falling size; the index returns all unused neighbours of the seed by score, and the
+best whose choice leaves no gap, or one that an unused item closes, goes into the window, until it is full. What no neighbour
+can close goes to the items that fill it best. Words that stand in more than a quarter of a shard don't make neighbours.
 
 Only a text above the capacity is split: into full windows and a rest, which is packed like an item.
 Defined cases: null and empty texts take no space and have no row; repeated rows are packed each on their own; an empty
-table gives no rows; extra columns are not read. Results depend on the ids and texts only, up to the bounds of the shards.
+table gives no rows; extra columns are not read. Results, names of containers included, depend on the ids and texts only.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +28,8 @@ from foliograph.sources.tables import Scratch
 
 CAPACITY, SHARD = 2048, 2000
 K1, B = 1.2, 0.75
-#: Neighbours that the index returns for a seed.
-NEIGHBOURS = 64
+#: The share of a window that may stay open where a neighbour is taken.
+OPEN = 1 / 50
 
 
 class Index:
@@ -77,35 +77,43 @@ class Left:
         return self.keys[at] if at >= 0 else None
 
 
-def fill(sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], capacity: int = CAPACITY) -> list[list[int]]:
-    """Items of one shard by container."""
+def fill(sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], capacity: int = CAPACITY, by: Counter | None = None) -> list[list[int]]:
+    """Items of one shard by container; ``by`` counts what was placed as seed, by index and by size."""
     index, left, used, out = Index(terms, counts), Left(sizes), np.zeros(len(sizes), bool), []
+    order = np.argsort(sizes, kind="stable")
+    by = Counter() if by is None else by
 
-    def take(i: int, into: list[int]) -> int:
+    def take(i: int, into: list[int], how: str) -> int:
         used[i] = True
         left.drop(int(sizes[i]), i)
         into.append(i)
+        by[how] += 1
         return int(sizes[i])
 
+    def neighbour(score: np.ndarray, room: int) -> int | None:
+        """The best unused neighbour that fits and leaves at most OPEN, by itself or with one more unused item."""
+        near = np.flatnonzero((score > 0) & ~used & (sizes <= room))
+        if not len(near):
+            return None
+        rest = room - sizes[near]
+        free = order[~used[order]]
+        small = sizes[free]
+        at = np.searchsorted(small, rest, "right") - 1
+        # The item that would close the gap must be another one.
+        at -= (at >= 0) & (free[np.maximum(at, 0)] == near)
+        gap = np.where(at >= 0, rest - small[np.maximum(at, 0)], rest)
+        near = near[np.minimum(gap, rest) <= capacity * OPEN]
+        return int(near[np.argmax(score[near])]) if len(near) else None
+
     for seed in np.lexsort((np.arange(len(sizes)), -sizes)):
         if used[seed]:
             continue
         into: list[int] = []
-        room = capacity - take(int(seed), into)
+        room = capacity - take(int(seed), into, "seed")
         if left.keys and left.keys[0][0] <= room:
             score = index.scores(int(seed))
-            score[used | (sizes > room)] = 0
-            near = np.argpartition(-score, min(NEIGHBOURS, len(score) - 1))[:NEIGHBOURS] if len(score) > NEIGHBOURS else np.arange(len(score))
-            near = near[score[near] > 0]
-            for i in near[np.lexsort((near, -score[near]))]:
-                rest = room - int(sizes[i])
-                if rest < 0 or used[i]:
-                    continue
-                # Only what nearly closes the gap, or leaves one that the largest item for it nearly closes.
-                best = left.largest(rest)
-                if rest > capacity // 50 and (best is None or rest - best[0] > capacity // 50 or best[1] == i):
-                    continue
-                room -= take(int(i), into)
+            while (i := neighbour(score, room)) is not None:
+                room -= take(i, into, "index")
             while (best := left.largest(room)) is not None:
                 # Two items may close the gap better than the largest one alone.
                 choice, gap = [best[1]], room - best[0]
@@ -120,7 +128,7 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], c
                         if other and room - s - other[0] < gap:
                             choice, gap = [i, other[1]], room - s - other[0]
                 for i in choice:
-                    room -= take(i, into)
+                    room -= take(i, into, "size")
         out.append(into)
     return out
 
@@ -168,22 +176,22 @@ def containers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     items = Scratch(df.sparkSession).put(_items(df, id_col, text_col, vocabulary, capacity))
     small = items.filter(F.col("n") < capacity)
     shards = max(1, -(-small.count() // shard))
+    # Signatures with more items than half a shard are cut by the hash of the id; all others stay whole.
+    hot = small.groupBy("sig").agg(F.ceil(F.count("*") / (shard / 2)).alias("cuts")).filter("cuts > 1")
+    cut = F.when(F.col("cuts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "part"), "cuts"))
+    laid = small.join(hot, "sig", "left").withColumn("shard", F.pmod(F.xxhash64("sig", cut), F.lit(shards)))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(batches)
-        if not found:
-            return
-        t = pa.Table.from_batches(found).sort_by([("id", "ascending"), ("part", "ascending")])
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("id", "ascending"), ("part", "ascending")])
         terms = [np.frombuffer(x, np.int32) for x in t["terms"].to_pylist()]
         counts = [np.frombuffer(x, np.uint8) for x in t["counts"].to_pylist()]
-        name = f"s{TaskContext.get().partitionId()}-"
         filled = fill(t["n"].to_numpy().astype(np.int64), terms, counts, capacity)
-        order = [i for c in filled for i in c]
+        name = f"s{t['shard'][0].as_py()}-"
+        t = t.take(pa.array([i for c in filled for i in c], pa.int64()))
         ids = [f"{name}{k}" for k, c in enumerate(filled) for _ in c]
-        t = t.take(pa.array(order, pa.int64())).combine_chunks()
-        yield from pa.table({"container_id": pa.array(ids, pa.string()), "id": t["id"], "part": t["part"], "start_token": t["start"], "n_tokens": t["n"]}).to_batches()
+        return pa.table({"container_id": pa.array(ids, pa.string()), "id": t["id"], "part": t["part"], "start_token": t["start"], "n_tokens": t["n"]})
 
-    packed = small.repartitionByRange(shards, "sig", "id", "part").mapInArrow(pack, "container_id string, id bigint, part int, start_token int, n_tokens int")
+    packed = laid.select("shard", "id", "part", "start", "n", "terms", "counts").groupBy("shard").applyInArrow(pack, "container_id string, id bigint, part int, start_token int, n_tokens int")
     full = items.filter(F.col("n") == capacity).select(
         F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("-"), F.col("part").cast("string")).alias("container_id"), "id", "part", F.col("start").alias("start_token"), F.col("n").alias("n_tokens")
     )

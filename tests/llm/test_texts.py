@@ -181,3 +181,30 @@ def test_forms_of_han_and_hangul_alone(spark):
     assert got[20].text == ko and got[22].text == "a 数据处理 b"
     once = {r.id for r in mojibake.affected(documents(spark, [*rows, *rows])).collect()}
     assert once == {20, 21, 22}
+
+
+def test_the_index_fills_first():
+    from collections import Counter
+
+    import numpy as np
+
+    rng = random.Random(9)
+    topics = [[rng.randrange(1 << 20) for _ in range(60)] for _ in range(20)]
+    items = [rng.choices(topics[i % 20], k=30) for i in range(600)]
+    terms = [np.unique(np.array(x, np.int32)) for x in items]
+    counts = [np.array([x.count(t) for t in u], np.uint8) for x, u in zip(items, terms)]
+    sizes = np.array([rng.randint(50, 900) for _ in items], np.int64)
+    by = Counter()
+    filled = packing.fill(sizes, terms, counts, 2048, by)
+    assert sorted(i for c in filled for i in c) == list(range(600)) and all(sizes[c].sum() <= 2048 for c in filled)
+    assert by["index"] > by["size"] and len(filled) <= 1.02 * first_fit_decreasing(sizes.tolist(), 2048)
+    same = np.mean([i % 20 == c[0] % 20 for c in filled for i in c[1:]])
+    assert same > 0.4
+
+
+def test_hot_signatures_are_cut(spark):
+    rows = [(i, "same words here again") for i in range(60)]
+    out = packing.containers(documents(spark, rows), capacity=16, shard=10).collect()
+    assert len(out) == 60 and len({r.container_id for r in out}) >= 15
+    assert len({r.container_id.split("-")[0] for r in out}) > 1
+    assert {(r.container_id, r.id) for r in out} == {(r.container_id, r.id) for r in packing.containers(documents(spark, rows).repartition(3), capacity=16, shard=10).collect()}
