@@ -2,6 +2,7 @@
 
 import os
 import random
+import unicodedata
 
 import pytest
 import tiktoken
@@ -208,3 +209,32 @@ def test_hot_signatures_are_cut(spark):
     assert len(out) == 60 and len({r.container_id for r in out}) >= 15
     assert len({r.container_id.split("-")[0] for r in out}) > 1
     assert {(r.container_id, r.id) for r in out} == {(r.container_id, r.id) for r in packing.containers(documents(spark, rows).repartition(3), capacity=16, shard=10).collect()}
+
+
+def test_cuts_never_split_a_character():
+    thai, hindi = "กำหนดที่เก็บน้ำ" * 90, "क्षत्रिय्ाँकि" * 120
+    for t in (thai, hindi, "e\u0301" * 700, "👨‍👩‍👧" * 300):
+        for s, m, e in pieces.cut(t)[1:]:
+            for at in (s, m):
+                assert unicodedata.category(t[at])[0] != "M" and t[at] != "ำ" and t[at - 1] not in "เแโใไ" and t[at] != "\u200d"
+    one = "a" + "\u0301" * 1200
+    assert all(e - s <= 500 for s, _, e in pieces.cut(one)) and "".join(one[m:e] for _, m, e in pieces.cut(one)) == one
+
+
+def test_cuts_follow_headings_and_lists():
+    text = "# One\n" + "alpha beta. " * 20 + "\n## Inner\n" + "gamma delta. " * 12 + "\n# Two\n" + "epsilon. " * 25
+    starts = [m for _, m, _ in pieces.cut(text, 500, 0)]
+    assert text.index("# Two") in starts and text.index("## Inner") - 1 <= starts[1] <= text.index("# Two")
+    tree = pieces.children(text, pieces.Node(0, len(text)))
+    assert [text[n.start : n.start + 5] for n in tree] == ["# One", "# Two"] and len(tree[0].children) == 2
+    items = "".join(f"- item {i} {'x' * 60}\n" + "".join(f"  - sub {j} {'y' * 40}\n" for j in range(3)) for i in range(8))
+    cuts = [m for _, m, _ in pieces.cut(items, 450, 0)]
+    assert all(items.startswith("- item", m) for m in cuts)
+    deep = "".join("#" * (1 + i % 6) + f" h{i}\nshort text\n" for i in range(5000))
+    assert "".join(deep[m:e] for _, m, e in pieces.cut(deep)) == deep
+
+
+def test_rows_without_a_page_are_their_own(spark):
+    rows = [(1, None, 1, 0, "a" * 600), (2, None, 1, 1, "b"), (3, 7, None, 0, "c"), (4, 7, None, 0, "d"), (5, 8, 1, 0, "e"), (5, 8, 1, 0, "e")]
+    out = pieces.pieces(spark.createDataFrame(rows, "id bigint, document_id bigint, page_number int, chunk_index int, content string")).collect()
+    assert sorted((r.chunk_id, r.piece_index) for r in out) == [(1, 0), (1, 1), (2, 0), (3, 0), (4, 0), (5, 0), (5, 0)]
