@@ -1,10 +1,15 @@
 """The k most similar vectors of every vector, by balanced posting lists.
 
-Centroids are fitted on a bounded sample (``SAMPLE`` rows, by hash of the id) and every vector is indexed. A vector
-stands in the posting list of its nearest centroid and, near a boundary, in those of further centroids whose
-distance is within ``CLOSURE`` of the nearest. A query asks the lists whose centroid lies within ``PRUNE`` of the
-nearest. Centroids are found by beam search over an in-memory graph of their neighbours. Each list is scored as one
-matrix product; the best k over all lists of a query are kept.
+Centroids, one for ``LIST_SIZE`` vectors, are fitted on a bounded sample by hash of the id (32 rows a list, from ``SAMPLE`` up to
+``MOST``; many lists in two levels) and every vector is indexed. A vector stands in the posting list of its nearest centroid
+and, near a boundary, in those of further centroids whose distance is within ``CLOSURE`` of the nearest. A query asks the
+lists whose centroid lies within ``PRUNE`` of the nearest, at most as many as ``probes`` gives for that number of lists.
+Centroids are found by beam search over an in-memory graph of their neighbours. Lists are balanced twice: the fit splits
+centroids of many sample rows in place of those of few, and a list whose share of the sample foretells more than ``BLOCK``
+rows is cut in blocks by the hash of the id, all of which its queries ask, so no task holds a whole large list. Each block is
+scored as one matrix product; the best k over all blocks of a query are kept.
+
+Above ``MOST`` / 4 lists (16.7 million vectors) the centroids in memory stay as many and the lists grow with the data.
 
 Vectors are brought to length 1 and travel as 16-bit integers (error of a cosine about 1e-6).
 Exact copies: the k+1 smallest ids of a group of equal vectors stand for it; any further copy has the k smallest
@@ -26,11 +31,18 @@ from pyspark.sql import functions as F
 from foliograph.llm.sampling import by_hash
 from foliograph.sources.tables import Scratch
 
-SAMPLE = 32_768
+SAMPLE, MOST = 32_768, 262_144
 LIST_SIZE = 256
-MAX_LISTS = 4_096
+BLOCK = 2_048
 REPLICAS, CLOSURE = 3, 1.15
-PROBES, PRUNE = 7, 1.45
+PRUNE = 1.45
+#: Centroids up to which they are fitted at once.
+FLAT = 2_048
+
+
+def probes(lists: int, base: float = 14.0, growth: float = 0.3) -> int:
+    """Lists a query may ask: ``base`` of a hundred and more by a power of their number, 0.3 being twice for every tenfold."""
+    return max(1, round(base * max(1.0, lists / 100) ** growth))
 
 
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 5, seed: int = 1) -> np.ndarray:
@@ -52,6 +64,16 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 5, seed: int = 1) -> np.n
     return c.astype(np.float32)
 
 
+def fit_lists(x: np.ndarray, k: int) -> np.ndarray:
+    """``k`` centroids; above FLAT of them in two levels, each coarse cluster getting its share."""
+    if k <= FLAT:
+        return fit_centroids(x, k)
+    coarse = fit_centroids(x, int(np.sqrt(k)))
+    near = np.concatenate([np.argmax(x[i : i + 4096] @ coarse.T, axis=1) for i in range(0, len(x), 4096)])
+    cells = [x[near == c] for c in range(len(coarse))]
+    return np.concatenate([fit_centroids(m, max(1, min(len(m), round(k * len(m) / len(x))))) for m in cells if len(m)])
+
+
 class CentroidGraph:
     """Every centroid with its nearest others; searched from pivots by a beam, all queries of a batch at once."""
 
@@ -116,8 +138,11 @@ def _prepared(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, v binary")
 
 
-def nearest(df: DataFrame, id_col: str = "faiss_id", vec_col: str = "vec", k: int = 5, dim: int = 64, min_cosine: float = -2.0, list_size: int = LIST_SIZE, sample: int = SAMPLE) -> DataFrame:
-    """(id, neighbour, cosine): up to k neighbours of each id, those below ``min_cosine`` left out."""
+def nearest(df: DataFrame, id_col: str = "faiss_id", vec_col: str = "vec", k: int = 5, dim: int = 64, min_cosine: float = -2.0, list_size: int = LIST_SIZE, sample: int = SAMPLE, most: int = MOST, block: int = BLOCK, base: float = 14.0, growth: float = 0.3) -> DataFrame:
+    """(id, neighbour, cosine): up to k neighbours of each id, those below ``min_cosine`` left out.
+
+    Neighbours of a high ``min_cosine`` lie in the first lists whatever the number of lists, so a ``growth`` of 0 is enough for them.
+    """
     spark = df.sparkSession
     scratch = Scratch(spark)
     all_rows = scratch.put(_prepared(df, id_col, vec_col, dim))
@@ -126,28 +151,40 @@ def nearest(df: DataFrame, id_col: str = "faiss_id", vec_col: str = "vec", k: in
     n = rows.count()
     if n == 0:
         return spark.createDataFrame([], "id bigint, neighbour bigint, cosine double")
-    drawn = by_hash(rows, sample, n=n).select("v").toArrow()
+    drawn = by_hash(rows, min(most, max(sample, 32 * (n // list_size))), n=n).select("v").toArrow()
     x = _unpack(drawn.column(0).combine_chunks(), dim)
-    lists = int(min(MAX_LISTS, max(1, n // list_size), max(1, len(x) // 4)))
-    graph = spark.sparkContext.broadcast(CentroidGraph(fit_centroids(x, lists)))
+    centroids = fit_lists(x, int(min(most // 4, max(1, n // list_size), max(1, len(x) // 4))))
+    fitted, asked = CentroidGraph(centroids), probes(len(centroids), base, growth)
+    nearest_list = np.concatenate([fitted.search(x[i : i + 2048], 1 + REPLICAS)[0][:, 0] for i in range(0, len(x), 2048)])
+    blocks = np.maximum(1, np.ceil(np.bincount(nearest_list, minlength=len(centroids)) * (n / len(x)) / block)).astype(np.int64)
+    graph = spark.sparkContext.broadcast((fitted, blocks, asked))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = graph.value
+        g, cuts, asked = graph.value
+        widest = max(REPLICAS, asked)
         for whole in batches:
             for at in range(0, len(whole), 2048):
                 b = whole.slice(at, 2048)
                 q = _unpack(b.column(1), dim)
-                ids, cos = g.search(q, max(REPLICAS, PROBES) + 3)
-                ids, cos = ids[:, : max(REPLICAS, PROBES)], cos[:, : max(REPLICAS, PROBES)]
+                ids, cos = g.search(q, widest + 3, widest + 6)
+                ids, cos = ids[:, :widest], cos[:, :widest]
                 far = np.sqrt(np.maximum(2 - 2 * cos, 0))
                 place = np.arange(ids.shape[1])[None, :]
                 member = ((far <= far[:, :1] * CLOSURE) & (place < REPLICAS) | (place == 0)) & (ids >= 0)
-                asks = ((far <= far[:, :1] * PRUNE) | (place == 0)) & (ids >= 0)
+                asks = ((far <= far[:, :1] * PRUNE) & (place < asked) | (place == 0)) & (ids >= 0)
                 r, c = np.nonzero(member | asks)
-                take = pa.array(r)
+                lists, m, a = ids[r, c].astype(np.int64), member[r, c], asks[r, c]
+                own = b.column(0).to_numpy()[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                # A row of a cut list goes to its own block, a query to all.
+                times = np.where(a, cuts[lists], 1)
+                e = np.repeat(np.arange(len(r)), times)
+                at = np.arange(len(e)) - np.repeat(np.cumsum(times) - times, times)
+                mine = (own % cuts[lists].astype(np.uint64)).astype(np.int64)
+                at = np.where(a[e], at, mine[e])
+                take = pa.array(r[e])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[r, c].astype(np.int32)), b.column(0).take(take), pa.array((member[r, c] + 2 * asks[r, c]).astype(np.int8)), b.column(1).take(take)],
-                    names=["list", "id", "role", "v"],
+                    [pa.array(lists[e].astype(np.int32)), pa.array(at.astype(np.int32)), b.column(0).take(take), pa.array(((m[e] & (at == mine[e])) + 2 * a[e]).astype(np.int8)), b.column(1).take(take)],
+                    names=["list", "block", "id", "role", "v"],
                 )
 
     def score(t: pa.Table) -> pa.Table:
@@ -176,8 +213,8 @@ def nearest(df: DataFrame, id_col: str = "faiss_id", vec_col: str = "vec", k: in
         cols = [np.concatenate([o[j] for o in out]) if out else np.zeros(0, [np.int64, np.int64, np.float64][j]) for j in range(3)]
         return pa.table({"id": cols[0], "neighbour": cols[1], "cosine": cols[2]})
 
-    placed = rows.select("id", "v").mapInArrow(assign, "list int, id bigint, role tinyint, v binary")
-    found = placed.groupBy("list").applyInArrow(score, "id bigint, neighbour bigint, cosine double")
+    placed = rows.select("id", "v").mapInArrow(assign, "list int, block int, id bigint, role tinyint, v binary")
+    found = placed.groupBy("list", "block").applyInArrow(score, "id bigint, neighbour bigint, cosine double")
     best = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbour")
     once = found.repartition("id").groupBy("id", "neighbour").agg(F.max("cosine").alias("cosine"))
     top = once.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n")

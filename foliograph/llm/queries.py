@@ -60,7 +60,7 @@ def _vectors(spark: SparkSession, d: str, modality: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     def found(modality: str) -> DataFrame:
-        pairs = neighbours.similar_pairs(neighbours.nearest(_vectors(spark, d, modality), min_cosine=0.9))
+        pairs = neighbours.similar_pairs(neighbours.nearest(_vectors(spark, d, modality), min_cosine=0.9, base=7, growth=0))
         return pairs.select(F.lit(modality).alias("modality"), "left_id", "right_id")
 
     return found("text").unionByName(found("image"))

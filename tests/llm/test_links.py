@@ -193,6 +193,25 @@ def test_neighbours_meet_the_recall(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_large_lists_are_cut_without_loss(spark):
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(3, 64)), 120, axis=0) + rng.normal(size=(360, 64)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "faiss_id bigint, vec array<float>")
+    whole, cut = (set(map(tuple, neighbours.nearest(df, list_size=120, block=b).select("id", "neighbour").collect())) for b in (10_000, 25))
+    assert whole == cut and len(whole) == 5 * 360
+
+
+def test_lists_grow_with_the_vectors():
+    assert neighbours.probes(115, 7, 0) == neighbours.probes(100_000, 7, 0) == 7
+    assert neighbours.probes(100) == 14 and neighbours.probes(1_000) == 28
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(9_000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = neighbours.fit_lists(x, 2_200)
+    sizes = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+    assert abs(len(c) - 2_200) < 60 and sizes.max() < 8 * sizes.mean()
+
+
 def test_scan_noise_kinds(spark):
     body = ["The quarterly committee measured the northern warehouse in detail.", "Nobody expected the preliminary results to arrive before winter.", "The department stored each printed catalogue and receipt."]
     rows, i = [], 0
