@@ -39,6 +39,8 @@ SHINGLE, THRESHOLD, MIN_LENGTH = 5, 0.6, 240
 TAU = 36
 #: Rows of one key up to which they are paired where they are read.
 HEAVY = 256
+#: Rows of keys a task sorts.
+TASK_ROWS = 1_000_000
 _BITS = 12
 _SYMBOL = (1 << _BITS) - 1
 
@@ -205,7 +207,9 @@ def _candidates(reps: DataFrame, tau: int, heavy: int, scratch: Scratch) -> Data
                 key, ids, long = key[:0], ids[:0], key[-1]
         yield out(key, ids, heavy)
 
-    met = scratch.put(placed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(meet, "key bigint, left_id bigint, right_id bigint"))
+    tasks = -(-reps.count() * SEGMENTS * WIDTH // TASK_ROWS)
+    tasks = max(tasks, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = scratch.put(placed.repartition(tasks, "key").sortWithinPartitions("key", "id").mapInArrow(meet, "key bigint, left_id bigint, right_id bigint"))
     sketch = reps.select("id", "seg")
     a, b = sketch.toDF("left_id", "a"), sketch.toDF("right_id", "b")
     light = met.filter("key IS NULL").select("left_id", "right_id").distinct()
