@@ -81,13 +81,14 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-_SPACED = re.compile(r"(?<!\w)[A-Za-z0-9](?: [A-Za-z0-9])+(?!\w)")
+# Fixed value: three and more single letters or digits set apart.
+_SPACED = re.compile(r"(?<!\w)(?:[A-Za-z0-9] ){2,}[A-Za-z0-9](?!\w)")
 
 
 @F.pandas_udf(StringType())
 def close_tracking(s: pd.Series) -> pd.Series:
     """Joins three and more single letters or digits that stand apart."""
-    return s.map(lambda t: None if t is None else _SPACED.sub(lambda m: m[0].replace(" ", "") if len(m[0]) >= 5 else m[0], t))
+    return s.map(lambda t: None if t is None else _SPACED.sub(lambda m: m[0].replace(" ", ""), t))
 
 
 def normal_page(c: Column, native: bool = True) -> Column:

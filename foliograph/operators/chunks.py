@@ -12,49 +12,34 @@ from pyspark.sql import functions as F
 _AFTER_MARK = re.compile(r"(?<=[.!?。])\s+")
 
 
-class _Packer:
-    """Takes pieces one after another and gives out what no longer fits together."""
+def _units(text: str, size: int, overlap: int) -> Iterator[tuple[str, str, bool]]:
+    """(piece, what joins it to the chunk before, whether it must begin a chunk) in order.
 
-    def __init__(self, size: int):
-        self.size, self.held, self.done = size, "", []
-
-    def fits(self, piece: str) -> bool:
-        return len(self.held) + 1 + len(piece) <= self.size
-
-    def add(self, piece: str, glue: str) -> None:
-        self.held = (self.held + glue + piece).strip()
-
-    def flush(self) -> None:
-        if self.held:
-            self.done.append(self.held)
-        self.held = ""
+    A paragraph within the size is one piece. A longer one begins anew and comes by sentences, and a sentence above the
+    size by slices that share ``overlap`` characters and each begin a chunk.
+    """
+    for paragraph in filter(None, map(str.strip, text.split("\n\n"))):
+        if len(paragraph) <= size:
+            yield paragraph, "\n", False
+            continue
+        for k, sentence in enumerate(_AFTER_MARK.split(paragraph)):
+            if len(sentence) <= size:
+                yield sentence, " ", k == 0
+            else:
+                count = 1 + -(-(len(sentence) - size) // (size - overlap))
+                yield from ((sentence[i * (size - overlap) :][:size], " ", True) for i in range(count))
 
 
 def pack(text: str, size: int = 500, overlap: int = 50, least: int = 10) -> list[str]:
-    """The chunks of a page; what is left of a long paragraph may take in the next one."""
+    """The chunks of a page: pieces folded from the left, each into the last chunk as long as the size allows."""
     text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()
-    if len(text) <= size:
-        return [text] if len(text) >= least else []
-    p = _Packer(size)
-    for paragraph in filter(None, map(str.strip, text.split("\n\n"))):
-        if p.fits(paragraph):
-            p.add(paragraph, "\n")
-        elif len(paragraph) <= size:
-            p.flush()
-            p.held = paragraph
+    chunks = [""]
+    for piece, glue, fresh in [(text, "", True)] if len(text) <= size else _units(text, size, overlap):
+        if fresh or len(chunks[-1]) + 1 + len(piece) > size:
+            chunks.append(piece)
         else:
-            p.flush()
-            for sentence in _AFTER_MARK.split(paragraph):
-                if p.fits(sentence):
-                    p.add(sentence, " ")
-                    continue
-                p.flush()
-                starts = range(0, max(1, len(sentence) - overlap), size - overlap) if len(sentence) > size else [0]
-                slices = [sentence[s : s + size] for s in starts]
-                p.done += slices[:-1]
-                p.held = slices[-1]
-    p.flush()
-    return [c for c in p.done if len(c) >= least]
+            chunks[-1] = (chunks[-1] + glue + piece).strip()
+    return [c for c in chunks if len(c) >= least]
 
 
 def chunked(pages: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
