@@ -13,7 +13,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
@@ -65,16 +65,27 @@ def outline_parents(outlines: DataFrame) -> DataFrame:
     """Outlines (document_id, seq, level, title, page_number) with normal ``name`` and the ``parent`` above: the last
     preceding entry of a smaller level, titles below two letters left out.
 
-    One window per document: the entries before a row are folded into a map from level to latest name, of which
-    a level keeps only what no smaller one has followed. Its size is the depth of the outline.
+    One pass per document over its entries in order, with the stack of those still open; levels may be of any depth.
     """
     named = outlines.withColumn("name", T.outline_title(F.col("title"))).filter(F.length("name") >= 2)
-    before = Window.partitionBy("document_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    levels = [x for x in range(1, 13)]
-    # The latest entry of each smaller level; of those the latest of all is the parent.
-    latest = F.array(*[F.max(F.when(F.col("level") == x, F.struct("seq", "name"))).over(before) for x in levels])
-    above = F.array_max(F.filter(F.transform(latest, lambda s, i: F.when(i + 1 < F.col("level"), s)), lambda s: s.isNotNull()))
-    return named.withColumn("parent", above["name"])
+    kinds = {f.name: f.dataType.simpleString() for f in named.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, stack = object(), []
+        for b in batches:
+            parents = []
+            for d, level, name in zip(*(b.column(c).to_pylist() for c in ("document_id", "level", "name"))):
+                if d != document:
+                    document, stack = d, []
+                while level is not None and stack and stack[-1][0] >= level:
+                    stack.pop()
+                parents.append(stack[-1][1] if stack and level is not None else None)
+                if level is not None:
+                    stack.append((level, name))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parents, pa.string())], names=[*b.schema.names, "parent"])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in kinds.items()) + ", parent string"
+    return named.repartition("document_id").sortWithinPartitions("document_id", "seq").mapInArrow(run, schema)
 
 
 def from_outlines(outlines: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:

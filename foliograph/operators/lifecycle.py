@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliograph.sources.tables import Scratch
+
 #: Which column of a table names the document that owns a row.
-OWNER = {"documents": "doc_id", "text_chunks": "document_id", "images": "document_id", "text_vectors": "document_id", "image_vectors": "document_id", "entity_mentions": "document_id"}
+OWNER = {"documents": "doc_id", "text_chunks": "document_id", "images": "document_id", "text_vectors": "document_id", "image_vectors": "document_id", "entity_mentions": "document_id", "tables": "document_id", "outlines": "document_id", "links": "document_id", "annotations": "document_id"}
 
 
 def admitted(incoming: DataFrame, stored: DataFrame | None, key: str = "file_hash", order: str = "doc_id") -> DataFrame:
@@ -30,7 +32,8 @@ def numbered(rows: DataFrame, order: list[str], start: int = 0, name: str = "fai
 
     Rows are range-partitioned and sorted; each partition is numbered on its own and shifted by the sizes before it.
     """
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    # Written once: a second evaluation might lay the partitions out differently.
+    sorted_ = Scratch(rows.sparkSession).put(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
     sizes = sorted_.groupBy("_p").agg(F.count("*").alias("_size"), F.min("_m").alias("_first"))
     before = sizes.select("_p", "_first", (F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
     return sorted_.join(F.broadcast(before), "_p").withColumn(name, F.col("_m") - F.col("_first") + F.coalesce("_before", F.lit(0)) + start).drop("_p", "_m", "_first", "_before")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as T
 from foliograph.functions import vectors as V
-from foliograph.operators.docgraph import similar_by_vector
 from foliograph.sources.tables import Scratch
 
 
+#: Classes that an ontology may have; they are sent to every task.
+CLASSES = 10_000
+
+
 def by_spelling(candidates: DataFrame) -> DataFrame:
     """(name, entity_type, canonical): of spellings with one key the one met most often, then the one met first.
 
@@ -28,10 +33,17 @@ def by_vector(names: DataFrame, threshold: float = 0.92, least: int = 2, most: i
     Classes below ``least`` or above ``most`` names are left alone.
     """
     size = names.groupBy("entity_type").agg(F.count("*").alias("size")).filter(F.col("size").between(least, most) & (F.col("entity_type") != "Document")).select("entity_type")
-    kept = names.join(size, "entity_type", "left_semi")
-    pairs = similar_by_vector(kept.select("id", V.unit(F.col("vec")).alias("vec")), threshold, dim)
-    side = lambda s: kept.select(F.col("id").alias(s), F.col("entity_type").alias(f"t{s}"), F.col("n").alias(f"n{s}"))
-    known = pairs.join(side("a"), "a").join(side("b"), "b").filter("ta = tb")
+    kept = names.filter(F.size("vec") == dim).select(F.col("id").cast("bigint").alias("id"), "entity_type", F.col("n").cast("bigint").alias("n"), V.unit(F.col("vec")).cast("array<double>").alias("vec"))
+
+    def pairs(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        ids, n = t["id"].to_numpy(), t["n"].to_numpy()
+        x = np.asarray(t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
+        i, j = np.nonzero(np.triu(np.round(x @ x.T, 9) >= threshold, 1))
+        return pa.table({"a": ids[i], "b": ids[j], "na": n[i], "nb": n[j]})
+
+    # A class has at most ``most`` names, so it is one matrix product, and classes never meet.
+    known = kept.join(size, "entity_type", "left_semi").groupBy("entity_type").applyInArrow(pairs, "a bigint, b bigint, na bigint, nb bigint")
     heavier = F.when(F.col("nb") > F.col("na"), F.col("b")).otherwise(F.col("a"))
     directed = known.select(F.struct("a", "b").alias("pair"), heavier.alias("parent"), F.when(heavier == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("duplicate"))
     return directed.groupBy("duplicate").agg(F.min_by("parent", "pair").alias("parent"))
@@ -51,10 +63,12 @@ def roots(parents: DataFrame, duplicate: str = "duplicate", parent: str = "paren
 
 
 def class_confidence(names: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, confidence) of names (id, entity_type, vec) against classes (entity_type, vec), a handful of rows.
+    """(id, confidence) of names (id, entity_type, vec) against classes (entity_type, vec), ``CLASSES`` of them at most.
 
     Half of 1 + cosine, a tenth more for the nearest class, within [0, 1]; 0.5 for a class that isn't known.
     """
+    if classes.count() > CLASSES:
+        raise ValueError("too many classes")
     sims = names.join(F.broadcast(classes.select(F.col("entity_type").alias("c"), F.col("vec").alias("cv"))), F.lit(True)).withColumn("sim", V.dot(V.unit(F.col("vec")), V.unit(F.col("cv"))))
     both = sims.groupBy("id", "entity_type").agg(F.max("sim").alias("best"), F.max(F.when(F.col("c") == F.col("entity_type"), F.col("sim"))).alias("own"))
     score = 0.5 + 0.5 * F.col("own") + F.when(F.col("own") >= F.col("best") - 1e-6, 0.1).otherwise(0.0)

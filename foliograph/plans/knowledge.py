@@ -265,7 +265,7 @@ def kg_06(spark, d):
     return extract.from_chunks(table(spark, d, "text_chunks")).select("chunk_id", "entity_type", "name")
 
 
-@query("kg_07")
+@query("kg_07", "SELECT c.id AS chunk_id, e.name, e.entity_type FROM text_chunks c JOIN (SELECT DISTINCT name, entity_type FROM entities WHERE entity_type IS NOT NULL AND length(name) BETWEEN 2 AND 60) e ON contains(c.content, e.name)")
 def kg_07(spark, d):
     """Known entity names found in chunks, in place of a trained recogniser."""
     return extract.Gazetteer(table(spark, d, "entities").filter("entity_type IS NOT NULL")).entities(table(spark, d, "text_chunks")).select("chunk_id", "name", "entity_type")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +62,19 @@ def txt_04(spark, d):
     return _docs(spark, d).select("doc_id", T.close_tracking(F.col("text")).alias("text"))
 
 
-@query("txt_05")
+def sql_nfkc() -> str:
+    """Compatibility composition in SQL: each character by its own form from a table made by rule, the whole then composed.
+
+    The forms of single characters are canonically equivalent to those of the text, so composing them at the end is enough.
+    """
+    forms = [(c, unicodedata.normalize("NFKC", chr(c))) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFKC", chr(c)) != unicodedata.normalize("NFC", chr(c))]
+    rows = ", ".join(f"({c}, '{f.replace(chr(39), chr(39) * 2)}')" for c, f in forms)
+    return f"""WITH forms(c, f) AS (VALUES {rows}), chars AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?s).')) AS x, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS i FROM documents),
+done AS (SELECT doc_id, nfc_normalize(string_agg(coalesce(f, x), '' ORDER BY i)) AS text FROM chars LEFT JOIN forms ON c = ord(x) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text = '' THEN '' ELSE done.text END AS text FROM documents d LEFT JOIN done USING (doc_id)"""
+
+
+@query("txt_05", sql_nfkc())
 def txt_05(spark, d):
     return _docs(spark, d).select("doc_id", T.nfkc(F.col("text")).alias("text"))
 
