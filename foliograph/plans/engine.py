@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from functools import cached_property
 from pathlib import Path
@@ -11,15 +12,19 @@ from pyspark.sql import functions as F
 
 from foliograph.config import Config
 from foliograph.functions import vectors as V
-from foliograph.operators import catalog, docgraph, extract, harness, lifecycle, relations, resolve, search, summary
+from foliograph.operators import catalog, docgraph, extract, harness, ingest, lifecycle, relations, resolve, search, summary
 from foliograph.operators.ontology import Ontology, with_validity
 from foliograph.sources import files
-from foliograph.sources.adapters import capabilities
-from foliograph.sources.tables import table
+from foliograph.sources.adapters import capabilities, embedded
+from foliograph.sources.tables import Scratch, exists, table
 
 SEARCH_KINDS = ("all", "text", "image", "table", "annotation")
 
 
+#: Gold documents up to which they are sent to every task.
+GOLD_MOST = 10_000
+
+
 class DuplicateDocument(Exception):
     """The store holds a document of this content already."""
 
@@ -61,11 +66,37 @@ class Engine:
             raise DuplicateDocument
         return new
 
-    def delete(self, doc_ids: list[int], target: str, staging: str) -> None:
-        """Writes all tables without the documents to ``target``, whole or not at all."""
+    def tables(self, *names: str) -> dict[str, DataFrame]:
+        """Those of the named tables that the folder holds."""
+        return {n: self.table(n) for n in names if exists(self.spark, self.data_dir, n)}
+
+    def ingest(self, parsed: dict[str, DataFrame], embed: Callable | None = None, embed_images: Callable | None = None, strict: bool = False) -> DataFrame:
+        """Stores, chunks and indexes parsed files and publishes all of it at once; returns the counts by document.
+
+        ``parsed`` is what ``operators.ingest.prepared`` takes; ``embed`` and ``embed_images`` load a model on a worker, and
+        without them nothing is indexed. Up to the last step no reader sees any of it, so a failure leaves the store as it was.
+        """
+        stored = self.tables("documents", "text_chunks", "text_vectors", "image_vectors", *ingest.ELEMENTS)
+        if strict and "documents" in stored and not parsed["documents"].join(stored["documents"].select("file_hash"), "file_hash", "left_semi").isEmpty():
+            raise DuplicateDocument
+        new = ingest.prepared(parsed, stored, self.config.chunk_size, self.config.chunk_overlap)
+        scratch = Scratch(self.spark)
+        if embed:
+            made = embedded(ingest.index_rows(new), "text", embed).drop("text")
+            new["text_vectors"] = scratch.put(ingest.indexed(made, stored))
+            new["text_chunks"] = ingest.backfilled(new["text_chunks"], new["text_vectors"], F.col("kind") == "chunk")
+        if embed_images and "images" in new:
+            made = embedded(new["images"].select(F.lit("image").alias("kind"), F.col("id").alias("row_id"), "document_id", "image_path"), "image_path", embed_images).drop("image_path")
+            new["image_vectors"] = scratch.put(ingest.indexed(made, stored, "image_vectors"))
+            new["images"] = ingest.backfilled(new["images"], new["image_vectors"], F.lit(True))
+        counts = scratch.put(ingest.report(new))
+        files.publish(new, self.data_dir, append=True)
+        return counts
+
+    def delete(self, doc_ids: list[int]) -> None:
+        """Publishes all tables without the documents, whole or not at all."""
         gone = self.spark.createDataFrame([(i,) for i in doc_ids], "doc_id bigint")
-        kept = lifecycle.without({n: self.table(n) for n in lifecycle.OWNER}, gone)
-        files.publish(kept, target, staging)
+        files.publish(lifecycle.without(self.tables(*lifecycle.OWNER), gone), self.data_dir)
 
     # ---- search and summary -------------------------------------------------------------------------------------
 
@@ -73,8 +104,14 @@ class Engine:
         """Grouped hits of query vectors (qid, vec)."""
         if kind not in SEARCH_KINDS:
             raise ValueError(kind)
-        tables = {n: self.table(n) for n in ("text_chunks", "images", "documents", "text_vectors", "image_vectors")}
-        return search.search(queries, image_queries, tables, kind, self.config.candidates, limit or self.config.results, dim or self.config.text_dim)
+        tables = self.tables("text_chunks", "images", "documents", "text_vectors", "image_vectors", "tables", "annotations", "outlines")
+        return search.search(queries, image_queries, tables, kind, self.config.candidates, limit or self.config.results, dim or self.config.text_dim, dim or self.config.image_dim)
+
+    def ask(self, queries: DataFrame, embed: Callable, embed_images: Callable | None = None, kind: str = "all", limit: int | None = None, dim: int | None = None) -> DataFrame:
+        """Grouped hits of text queries (qid, text); empty ones are an error of the caller's and have no hits."""
+        asked = queries.filter(F.length(F.trim("text")) >= 1).select("qid", "text")
+        vectors = lambda load: embedded(asked, "text", load).select("qid", "vec")
+        return self.search(vectors(embed), vectors(embed_images) if embed_images else None, kind, limit, dim)
 
     def summary(self, doc_id: int, vectors: DataFrame | None = None) -> dict:
         """Counts and key sentences of one document, by its chunks' vectors or hashed ones."""
@@ -115,9 +152,12 @@ class Engine:
         nodes = self.table("documents").select("doc_id", "filename").join(words, "doc_id", "left").join(has, "doc_id", "left").na.fill(False, ["has_vector"])
         return nodes, edges
 
-    def build_knowledge(self, outlines: DataFrame | None = None, tables: DataFrame | None = None, links: DataFrame | None = None) -> dict[str, DataFrame]:
+    def build_knowledge(self, outlines: DataFrame | None = None, tables: DataFrame | None = None, links: DataFrame | None = None, embed: Callable | None = None) -> dict[str, DataFrame]:
         """Entities, mentions and relations from all documents: extraction, resolution, co-occurrence, validation, evidence.
 
+        With ``embed``, which loads a text model on a worker, names alike by vector are united, too, and each name's confidence
+        in its class is the closeness to the class's name and description; without it 0.5.
+
         Candidates carry the order in which a document yields them, so that first-come rules hold in any plan.
         """
         docs, chunks = self.table("documents"), self.table("text_chunks")
@@ -137,9 +177,22 @@ class Engine:
         seq = F.struct("document_id", "stage", "at")
         found = extract.union([*entities, from_text]).withColumn("seq", seq)
         canonical = resolve.by_spelling(found.select("name", "entity_type", "seq"))
+        scratch, vectors = Scratch(self.spark), None
+        if embed:
+            canonical = scratch.put(canonical)
+            met = found.join(canonical, ["name", "entity_type"]).groupBy(F.col("canonical").alias("name"), "entity_type").agg(F.count("*").alias("n"))
+            vectors = scratch.put(embedded(met.withColumn("id", F.xxhash64("name", "entity_type")), "name", embed))
+            alike = resolve.roots(resolve.by_vector(vectors, self.config.merge_similarity, *self.config.merge_group, dim=self.config.text_dim))
+            to = alike.join(vectors.select(F.col("id").alias("root"), F.col("name").alias("other")), "root").join(vectors.select(F.col("id").alias("duplicate"), F.col("name").alias("canonical"), "entity_type"), "duplicate")
+            canonical = scratch.put(canonical.join(to.select("canonical", "entity_type", "other"), ["canonical", "entity_type"], "left").select("name", "entity_type", F.coalesce("other", "canonical").alias("canonical")))
         known = found.join(canonical, ["name", "entity_type"])
         nodes = known.groupBy("canonical", "entity_type").agg(F.array_sort(F.collect_set(F.when(F.col("name") != F.col("canonical"), F.col("name")))).alias("aliases"), F.count("*").alias("mention_count"))
         nodes = nodes.select(F.xxhash64("canonical", "entity_type").alias("id"), F.col("canonical").alias("name"), "entity_type", F.lit(0.5).alias("type_confidence"), "aliases", "mention_count")
+        if embed:
+            classes = self.spark.createDataFrame(list(self.ontology.classes.items()), "entity_type string, text string")
+            classes = embedded(classes.withColumn("text", F.concat("entity_type", F.lit(": "), "text")), "text", embed).select("entity_type", "vec")
+            sure = resolve.class_confidence(vectors.select("id", "entity_type", "vec"), classes).withColumnRenamed("confidence", "type_confidence")
+            nodes = nodes.drop("type_confidence").join(sure, "id", "left").na.fill(0.5, ["type_confidence"]).select("id", "name", "entity_type", "type_confidence", "aliases", "mention_count")
         mentions = known.select(F.xxhash64("canonical", "entity_type").alias("entity_id"), "document_id", "chunk_id", "page_number", F.substring("span_text", 1, 200).alias("span_text"), F.col("confidence").alias("extraction_confidence"), "extractor")
         end = lambda c: canonical.select(F.col("name").alias(c), F.col("entity_type").alias(f"{c}_type"), F.col("canonical").alias(f"{c}_c"))
         joined = extract.union(rels).withColumn("seq", seq).join(end("source"), ["source", "source_type"], "left").join(end("target"), ["target", "target_type"], "left")
@@ -191,9 +244,11 @@ class Engine:
         if relations_ is not None:
             triples = gold.select("document", F.explode("relations").alias("r")).select("document", "r.source", "r.relation", "r.target")
             docs = self.table("documents").groupBy(F.col("filename").alias("document")).agg(F.min("doc_id").alias("doc_id")).join(names, "document", "left_semi")
-            named = harness.relation_predictions(F.lit(True), relations_.withColumn("id", F.monotonically_increasing_id()), self.table("entities"))
-            of = relations_.withColumn("id", F.monotonically_increasing_id()).select("id", "document_id")
-            rows = named.join(of, "id").join(docs, (F.col("document_id") == F.col("doc_id")) | F.col("document_id").isNull())
+            relations_ = Scratch(self.spark).put(relations_.withColumn("id", F.monotonically_increasing_id()))
+            named = harness.relation_predictions(F.lit(True), relations_, self.table("entities")).join(relations_.select("id", "document_id"), "id")
+            # Relations of no document stand in every one.
+            of_none = named.filter("document_id IS NULL").crossJoin(F.broadcast(docs.select("document"))) if docs.count() <= GOLD_MOST else named.filter("document_id IS NULL").join(docs.select("document"))
+            rows = named.join(docs.withColumnRenamed("doc_id", "document_id"), "document_id").select("document", "source", "relation", "target").unionByName(of_none.select("document", "source", "relation", "target"))
             report["relation"] = total(harness.triple_matches(rows.select("document", "source", "relation", "target"), triples))
             report["graph_quality"] = harness.graph_quality(self.table("entities"), relations_).head().asDict()
         if report_dir:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.operators import catalog, geometry, lifecycle, summary
+from foliograph.operators import catalog, geometry, ingest, lifecycle, summary
 from foliograph.plans.registry import query
 from foliograph.plans.texts import URL, _docs
 from foliograph.sources.tables import table
@@ -58,13 +58,15 @@ def api_01(spark, d):
     return lifecycle.admitted(docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 3 != 0"))
 
 
-_LEFT = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t} WHERE {k} IS NULL OR {k} NOT IN (SELECT doc_id FROM documents WHERE source = 'shared-inbox')" for t, k in lifecycle.OWNER.items())
+#: The tables that the test data hold.
+STORED = ("documents", "text_chunks", "images", "text_vectors", "image_vectors", "entity_mentions")
+_LEFT = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t} WHERE {k} IS NULL OR {k} NOT IN (SELECT doc_id FROM documents WHERE source = 'shared-inbox')" for t, k in lifecycle.OWNER.items() if t in STORED)
 
 
 @query("api_04", _LEFT)
 def api_04(spark, d):
     """What stays of each table when all documents of one folder are deleted."""
-    tables = {t: table(spark, d, t).select(k) for t, k in lifecycle.OWNER.items()}
+    tables = {t: table(spark, d, t).select(k) for t, k in lifecycle.OWNER.items() if t in STORED}
     gone = table(spark, d, "documents").filter("source = 'shared-inbox'").select("doc_id")
     left = lifecycle.without(tables, gone)
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t, df in left.items()])
@@ -114,6 +116,19 @@ def api_16(spark, d):
     return summary.composite(table(spark, d, "documents"), table(spark, d, "text_chunks"), table(spark, d, "images"), links(spark, d), key)
 
 
+@query(
+    "api_02",
+    "WITH n AS (SELECT file_hash, arg_min(doc_id, doc_id) AS own, min(filename) AS filename FROM documents WHERE file_hash IS NOT NULL AND page_count > 0 GROUP BY 1), i AS (SELECT file_hash, count(*) FILTER (kind IS DISTINCT FROM 'vector') AS images, count(*) FILTER (kind = 'vector') AS vector_graphics FROM images JOIN documents ON doc_id = document_id WHERE file_hash IS NOT NULL GROUP BY 1) SELECT row_number() OVER (ORDER BY file_hash) AS doc_id, file_hash, coalesce(images, 0) AS images, coalesce(vector_graphics, 0) AS vector_graphics FROM n LEFT JOIN i USING (file_hash)",
+)
+def api_02(spark, d):
+    """All documents taken in anew by an empty store, a text being one page: ids and counts (API-02, API-03, SNK-01)."""
+    docs = table(spark, d, "documents")
+    by = docs.select(F.col("doc_id").alias("document_id"), "file_hash").filter("file_hash IS NOT NULL")
+    parsed = {"documents": docs.drop("text", "doc_id"), "pages": docs.select("file_hash", F.lit(1).alias("page_number"), "text", "source"), "images": table(spark, d, "images").join(by, "document_id").drop("document_id", "id", "faiss_id")}
+    new = ingest.prepared(parsed, {})
+    return ingest.report(new).join(new["documents"].select("doc_id", "file_hash"), "doc_id").select("doc_id", "file_hash", "images", "vector_graphics")
+
+
 @query("geo_02")
 def geo_02(spark, d):
     """Regions of the boxes of embedded images, laid out on a page in order."""

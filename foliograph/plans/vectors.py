@@ -97,6 +97,45 @@ def search_documents(spark, d):
     return _flat(search.search(asked(spark, d, "text_vectors"), asked(spark, d, "image_vectors"), _tables(spark, d)))
 
 
+#: Rows of the index by the rest of their number: the elements of all kinds, told on the chunks' own texts.
+SQL_MIXED = """mixed_q AS (SELECT faiss_id AS qid, vec::DOUBLE[] AS q FROM text_vectors WHERE faiss_id % 20 = 0 AND vec IS NOT NULL AND len(vec) = 64),
+mixed_s AS (SELECT qid, faiss_id, row_id, round(list_dot_product(q, vec::DOUBLE[]), 9) AS score FROM mixed_q, text_vectors WHERE vec IS NOT NULL AND len(vec) = 64),
+mixed_hits AS (SELECT *, ['text', 'table', 'annotation', 'outline'][faiss_id % 4 + 1] AS match_type FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, faiss_id) AS rank FROM mixed_s) WHERE rank <= 30)"""
+SQL_KIND = "SELECT qid, c.document_id, match_type, c.id AS ref_id, score, rank AS seq FROM mixed_hits h JOIN text_chunks c ON c.id = h.row_id WHERE match_type IN ({})"
+
+
+def _mixed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """An index of chunks, tables, annotations and outlines, each element with a chunk's text."""
+    c = table(spark, d, "text_chunks").select("id", "document_id", "page_number", "content")
+    kind = F.element_at(F.array(*map(F.lit, search.KINDS)), (F.col("faiss_id") % 4 + 1).cast("int"))
+    index = table(spark, d, "text_vectors").filter("vec IS NOT NULL").select("faiss_id", "row_id", "vec", kind.alias("kind"))
+    tables = {"tables": c.withColumnRenamed("content", "table_text"), "annotations": c.withColumn("annot_type", F.lit("Note")), "outlines": c.withColumnRenamed("content", "title")}
+    return tables | {"text_chunks": c, "text_vectors": index, "documents": table(spark, d, "documents")}
+
+
+@query("search_text_kind", f"WITH {SQL_MIXED}, " + SQL_GROUPED.format(matches=SQL_KIND.format("'text', 'outline'")))
+def search_text_kind(spark, d):
+    """Text hits, outlines among them (FLT-01)."""
+    return _flat(search.search(asked(spark, d, "text_vectors"), None, _mixed(spark, d), kind="text"))
+
+
+@query("search_table_kind", f"WITH {SQL_MIXED}, " + SQL_GROUPED.format(matches=SQL_KIND.format("'table'")))
+def search_table_kind(spark, d):
+    return _flat(search.search(asked(spark, d, "text_vectors"), None, _mixed(spark, d), kind="table"))
+
+
+@query("search_annotation_kind", f"WITH {SQL_MIXED}, " + SQL_GROUPED.format(matches=SQL_KIND.format("'annotation'")))
+def search_annotation_kind(spark, d):
+    return _flat(search.search(asked(spark, d, "text_vectors"), None, _mixed(spark, d), kind="annotation"))
+
+
+@query("search_all_kinds", f"WITH {SQL_MIXED}, {sql_hits('image')}, " + SQL_GROUPED.format(matches=SQL_KIND.format("'text', 'table', 'annotation', 'outline'") + f" UNION ALL {SQL_IMAGE}"))
+def search_all_kinds(spark, d):
+    """Every kind of element and images (JN-04, SET-01, API-05)."""
+    tables = _mixed(spark, d) | {"images": table(spark, d, "images"), "image_vectors": rows(spark, d, "image_vectors")}
+    return _flat(search.search(asked(spark, d, "text_vectors"), asked(spark, d, "image_vectors"), tables))
+
+
 @query("flt_01", f"WITH {sql_hits('text')}, " + SQL_GROUPED.format(matches=SQL_TEXT))
 def flt_01(spark, d):
     """Text hits only; the type filter comes after the k best are taken."""

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliograph.sources.tables import POINTER, current, exists
+
 GOLD = "document string, entities array<struct<name:string,type:string>>, relations array<struct<source:string,relation:string,target:string>>"
 
 
@@ -50,18 +54,32 @@ def read_baseline(path: str) -> dict | None:
         return None
 
 
-def publish(tables: dict[str, DataFrame], folder: str, staging: str) -> None:
-    """Writes all tables beside the live ones first and moves them in only when every one is whole."""
+def publish(tables: dict[str, DataFrame], folder: str, after: Callable[[str], None] | None = None, append: bool = False) -> str:
+    """Writes a new version of the tables beside the old ones and then swaps the one pointer that names the versions.
+
+    Until the swap, which is a single rename, readers see all old tables, afterwards all new ones. Tables that aren't given
+    stay as they are; with ``append`` the new rows stand beside the old ones, none of which is written again. ``after`` is
+    called with the name of each table written. Returns the version's folder.
+    """
     spark = next(iter(tables.values())).sparkSession
+    version = f"versions/{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{staging}/{name}.parquet")
+        df.write.parquet(f"{folder}/{version}/{name}.parquet")
+        if after:
+            after(name)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for name in tables:
-        new, old = (jvm.org.apache.hadoop.fs.Path(f"{x}/{name}.parquet") for x in (staging, folder))
-        fs = old.getFileSystem(conf)
-        fs.mkdirs(old.getParent())
-        fs.delete(old, True)
-        fs.rename(new, old)
+    held = current(spark, folder)
+    where = held | {name: [*(held.get(name, [f"{name}.parquet"]) if append and exists(spark, folder, name) else []), f"{version}/{name}.parquet"] for name in tables}
+    new, live = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}") for x in (f"{version}/{POINTER}", POINTER))
+    fs = live.getFileSystem(conf)
+    out = fs.create(new, True)
+    out.write(bytearray(json.dumps(where), "utf-8"))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(new), fs.makeQualified(live), how)
+    return f"{folder}/{version}"
 
 
 def checked_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:

@@ -7,11 +7,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foliograph.config import Config
 from foliograph.operators import docgraph, extract, geometry, harness, lifecycle, relations, resolve, search, summary
 from foliograph.operators.catalog import merged_entities
 from foliograph.operators.ontology import Ontology, violations, with_validity
 from foliograph.plans import registry
+from foliograph.plans.engine import DuplicateDocument, Engine
 from foliograph.sources import files
+from foliograph.sources.tables import table
 
 TRIPLES = [
     ("Person", "works_for", "Organization", True), ("Document", "authored_by", "Person", True), ("Organization", "works_for", "Person", False),
@@ -101,20 +104,16 @@ def test_known_names_against_contains(spark):
     assert extract.Gazetteer(known.limit(0)).entities(chunks).count() == 0 and extract.Gazetteer(known).entities(chunks.limit(0)).count() == 0
 
 
-def test_degree_cap_against_a_greedy_pass(spark):
+def test_degree_cap(spark):
     rng = random.Random(7)
+    edges = [(a, b, rng.choice([0.4, 0.5, 0.6, 0.7]), i) for i, (a, b) in enumerate((a, b) for a in range(14) for b in range(14) if a < b and rng.random() < 0.6)]
+    df = spark.createDataFrame(edges, "a int, b int, weight double, seq int")
     for k in (1, 2, 4):
-        nodes = range(14)
-        edges = [(a, b, rng.choice([0.4, 0.5, 0.6, 0.7]), i) for i, (a, b) in enumerate((a, b) for a in nodes for b in nodes if a < b and rng.random() < 0.6)]
-        count, want = dict.fromkeys(nodes, 0), set()
-        for a, b, _, _ in sorted(edges, key=lambda e: (-e[2], e[3])):
-            if count[a] >= k and count[b] >= k:
-                continue
-            want.add((a, b))
-            count[a] += 1
-            count[b] += 1
-        got = docgraph.capped(spark.createDataFrame(edges, "a int, b int, weight double, seq int"), k)
-        assert {(r.a, r.b) for r in got.collect()} == want
+        kept = {(r.a, r.b) for r in docgraph.capped(df, k).collect()}
+        for a, b, w, i in edges:
+            better = [sum((v, -j) > (w, -i) and x in (c, d) for c, d, v, j in edges) for x in (a, b)]
+            # Turned down only where both ends have k better edges.
+            assert ((a, b) in kept) == (min(better) < k)
 
 
 def test_similar_by_vector_against_all_pairs(spark):
@@ -207,21 +206,17 @@ def test_search_drops_dead_rows_after_the_cut(spark):
 
 
 def test_summary_pick():
-    def loop(v, n):
-        c = v.mean(0)
-        c /= np.linalg.norm(c) + 1e-12
-        taken = []
-        while len(taken) < n:
-            best = max((i for i in range(len(v)) if i not in taken), key=lambda i: (round(0.7 * float(v[i] @ c) - 0.3 * max((float(v[i] @ v[j]) for j in taken), default=0.0), 12), -i))
-            taken.append(best)
-        return sorted(taken)
-
-    rng = np.random.default_rng(9)
-    for _ in range(50):
-        v = rng.normal(size=(12, 6))
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        assert summary.pick(v, 5) == loop(v, 5)
     assert summary.pick(np.eye(3), 5) == [0, 1, 2]
+    near = np.array([[1.0, 0, 0], [0.999, 0.045, 0], [0, 1.0, 0], [0, 0, 1.0]])
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    got = summary.pick(near, 3)  # of two that say the same one is enough
+    assert got == sorted(got) and {2, 3} <= set(got) and len({0, 1} & set(got)) == 1
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(12, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    centre = v.mean(0) / np.linalg.norm(v.mean(0))
+    assert summary.pick(v, 1) == [int(np.argmax(v @ centre))]
+    assert all(set(summary.pick(v, n)) < set(summary.pick(v, n + 1)) for n in range(1, 11))  # each pick stays
 
 
 def test_regions(spark):
@@ -236,8 +231,79 @@ def test_lifecycle(spark, tmp_path):
     assert {r.doc_id for r in lifecycle.admitted(new, old).collect()} == {1, 4, 5}
     got = lifecycle.numbered(spark.range(100).repartition(7).withColumn("k", -F.col("id")), ["k"]).collect()
     assert {(r.id, r.faiss_id) for r in got} == {(i, 99 - i) for i in range(100)}
-    files.publish({"documents": new}, str(tmp_path / "live"), str(tmp_path / "stage"))
-    assert spark.read.parquet(str(tmp_path / "live/documents.parquet")).count() == 5
+
+
+def test_publish_is_whole_or_not_at_all(spark, tmp_path):
+    d = str(tmp_path)
+    frame = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id bigint")
+    held = lambda n: sorted(r.id for r in table(spark, d, n).collect())
+    frame(1).write.parquet(f"{d}/a.parquet")
+    frame(2).write.parquet(f"{d}/b.parquet")
+
+    def crash(name):
+        if name == "a":
+            raise OSError("lost between two tables")
+
+    with pytest.raises(OSError):
+        files.publish({"a": frame(10), "b": frame(20)}, d, after=crash)
+    assert held("a") == [1] and held("b") == [2]
+    files.publish({"a": frame(10), "b": frame(20)}, d)
+    assert held("a") == [10] and held("b") == [20]
+    files.publish({"a": frame(11), "c": frame(30)}, d, append=True)
+    assert held("a") == [10, 11] and held("b") == [20] and held("c") == [30]
+
+
+def fake_model():
+    """Vectors by letters; names that differ in case only are alike."""
+    return lambda texts: [(np.bincount([ord(c) % 8 for c in t.lower()] or [0], minlength=8) + 0.01).tolist() for t in texts]
+
+
+def parsed_files(spark, *names):
+    docs = spark.createDataFrame([(f"hash-{n}", f"{n}.pdf", f"{n}.pdf", 2, {"author": "Ann Lee"}) for n in names], "file_hash string, filename string, stored_path string, page_count int, metadata map<string,string>")
+    docs = docs.withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    pages = [(f"hash-{n}", p, f"This is the text of page {p} in {n}, which is long enough.", "native" if p == 1 else "ocr") for n in names for p in (1, 2)]
+    more = {
+        "images": ("file_hash string, page_number int, image_path string, width int, height int, kind string", [(f"hash-{n}", 1, f"{n}-{k}.png", 80, 90, k) for n in names for k in ("image", "vector")]),
+        "tables": ("file_hash string, page_number int, table_index int, cells array<array<string>>, table_text string", [(f"hash-{n}", 1, 0, [["a", "b"]], f"cells of {n}") for n in names]),
+        "outlines": ("file_hash string, seq int, level int, title string, page_number int", [(f"hash-{n}", i, 1, t, 1) for n in names for i, t in enumerate(["Abc", "Background"])]),
+        "annotations": ("file_hash string, page_number int, annot_type string, content string", [(f"hash-{n}", 2, "Note", "check this") for n in names]),
+    }
+    return {"documents": docs, "pages": spark.createDataFrame(pages, "file_hash string, page_number int, text string, source string")} | {k: spark.createDataFrame(rows, t) for k, (t, rows) in more.items()}
+
+
+def test_ingest_and_search_of_every_kind(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path), Config(text_dim=8, image_dim=8))
+    first = engine.ingest(parsed_files(spark, "one", "two"), fake_model, fake_model).orderBy("filename").collect()
+    assert [(r.doc_id, r.filename, r.text_chunks, r.ocr_pages, r.images, r.vector_graphics, r.tables, r.outlines, r.annotations, r.links) for r in first] == [(r.doc_id, n, 2, 1, 1, 1, 1, 2, 1, 0) for r, n in zip(first, ("one.pdf", "two.pdf"))]
+    assert engine.ingest(parsed_files(spark, "two", "three"), fake_model, fake_model).count() == 1
+    with pytest.raises(DuplicateDocument):
+        engine.ingest(parsed_files(spark, "one"), fake_model, strict=True)
+    index = engine.table("text_vectors")
+    assert engine.table("documents").count() == 3 and {r.doc_id for r in engine.table("documents").collect()} == {1, 2, 3}
+    assert {r.kind: r.n for r in index.groupBy("kind").agg(F.count("*").alias("n")).collect()} == {"chunk": 6, "table": 3, "annotation": 3, "outline": 3}
+    assert index.select("faiss_id").distinct().count() == 15 and engine.table("text_chunks").join(index.filter("kind = 'chunk'"), "faiss_id").count() == 6
+    asked = spark.createDataFrame([(1, "[Note] check this"), (2, " ")], "qid bigint, text string")
+    for kind, types in (("all", {"text", "table", "annotation", "outline", "image"}), ("text", {"text", "outline"}), ("table", {"table"}), ("annotation", {"annotation"}), ("image", {"image"})):
+        rows = engine.ask(asked, fake_model, fake_model, kind).collect()
+        assert {t.match_type for r in rows for t in r.top} <= types and len(rows) == 3 and {r.qid for r in rows} == {1}
+    assert rows[0].top[0].preview.startswith("/images/")
+    engine.delete([1])
+    assert engine.table("documents").count() == 2 and engine.table("outlines").count() == 4 and engine.table("text_vectors").count() == 10
+
+
+def test_build_unites_names_alike_by_vector(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path), Config(text_dim=8))
+    engine.ingest(parsed_files(spark, "one"), fake_model)
+    outlines = spark.createDataFrame([(1, i, lvl, t, 1) for i, (lvl, t) in enumerate([(1, "Market risk"), (14, "Deep topic"), (15, "Quiet zebra"), (2, "kraM etrisk")])], "document_id bigint, seq int, level int, title string, page_number int")
+    plain, built = (engine.build_knowledge(outlines=outlines, embed=e) for e in (None, fake_model))
+    names = lambda b: {r.name for r in b["entities"].filter("entity_type = 'Concept'").collect()}
+    assert names(plain) == {"Market risk", "Deep topic", "Quiet zebra", "kraM etrisk"}
+    assert names(built) == {"Market risk", "Deep topic", "Quiet zebra"}
+    assert {r.name: r.aliases for r in built["entities"].collect()}["Market risk"] == ["kraM etrisk"]
+    assert all(0 <= r.type_confidence <= 1 and r.type_confidence != 0.5 for r in built["entities"].filter("entity_type = 'Concept'").collect())
+    parent = {r.name: r.parent for r in extract.outline_parents(outlines).collect()}
+    assert parent == {"Market risk": None, "Deep topic": "Market risk", "Quiet zebra": "Deep topic", "kraM etrisk": "Market risk"}
+
 
 
 def test_gold_files(spark, tmp_path):
