@@ -238,3 +238,17 @@ def test_rows_without_a_page_are_their_own(spark):
     rows = [(1, None, 1, 0, "a" * 600), (2, None, 1, 1, "b"), (3, 7, None, 0, "c"), (4, 7, None, 0, "d"), (5, 8, 1, 0, "e"), (5, 8, 1, 0, "e")]
     out = pieces.pieces(spark.createDataFrame(rows, "id bigint, document_id bigint, page_number int, chunk_index int, content string")).collect()
     assert sorted((r.chunk_id, r.piece_index) for r in out) == [(1, 0), (1, 1), (2, 0), (3, 0), (4, 0), (5, 0), (5, 0)]
+
+
+def test_every_mark_is_the_classifiers_to_decide():
+    text = "今日は晴れ。明日は雨。 We saw art. The museum closed."
+    none, all_ = sentences.Model({"b": -1.0}, {}, {}), sentences.Model({"b": 1.0}, {}, {})
+    assert [text[a:b] for a, b in sentences.split(text, none)] == [text]
+    assert [text[a:b] for a, b in sentences.split(text, all_)] == ["今日は晴れ。", "明日は雨。", "We saw art.", "The museum closed."]
+    fitted = sentences.fit([])  # nothing to learn from: the prior decides
+    assert len(sentences.split("今日は晴れ。明日は雨。", fitted)) == 2 and len(sentences.split("Dr. Smith came.", fitted)) == 1
+
+
+def test_long_tokens_are_seen_whole():
+    seen = [p for _, p, *_ in sentences.candidates("x" * 70 + "end. Next one.", 0, 85)]
+    assert seen[0] == "x" * 70 + "end"
