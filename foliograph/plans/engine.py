@@ -21,8 +21,8 @@ from foliograph.sources.tables import Scratch, exists, table
 SEARCH_KINDS = ("all", "text", "image", "table", "annotation")
 
 
-#: Gold documents up to which they are sent to every task.
-GOLD_MOST = 10_000
+#: Blocks of gold documents that relations of no document meet.
+BLOCKS = 16
 
 
 class DuplicateDocument(Exception):
@@ -246,9 +246,11 @@ class Engine:
             docs = self.table("documents").groupBy(F.col("filename").alias("document")).agg(F.min("doc_id").alias("doc_id")).join(names, "document", "left_semi")
             relations_ = Scratch(self.spark).put(relations_.withColumn("id", F.monotonically_increasing_id()))
             named = harness.relation_predictions(F.lit(True), relations_, self.table("entities")).join(relations_.select("id", "document_id"), "id")
-            # Relations of no document stand in every one.
-            of_none = named.filter("document_id IS NULL").crossJoin(F.broadcast(docs.select("document"))) if docs.count() <= GOLD_MOST else named.filter("document_id IS NULL").join(docs.select("document"))
-            rows = named.join(docs.withColumnRenamed("doc_id", "document_id"), "document_id").select("document", "source", "relation", "target").unionByName(of_none.select("document", "source", "relation", "target"))
+            # Relations of no document stand in every one: each meets the documents block by block.
+            blocked = docs.select("document", F.pmod(F.xxhash64("document"), F.lit(BLOCKS)).alias("block"))
+            of_none = named.filter("document_id IS NULL").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)).cast("array<bigint>"))).join(blocked, "block")
+            of_one = named.join(docs.withColumnRenamed("doc_id", "document_id"), "document_id")
+            rows = of_one.select("document", "source", "relation", "target").unionByName(of_none.select("document", "source", "relation", "target"))
             report["relation"] = total(harness.triple_matches(rows.select("document", "source", "relation", "target"), triples))
             report["graph_quality"] = harness.graph_quality(self.table("entities"), relations_).head().asDict()
         if report_dir:
