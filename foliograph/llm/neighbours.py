@@ -38,6 +38,8 @@ REPLICAS, CLOSURE = 3, 1.15
 PRUNE = 1.45
 #: Centroids up to which they are fitted at once.
 FLAT = 2_048
+#: Cosines of centroids with each other that are held at once.
+TILE = 1 << 22
 
 
 def probes(lists: int, base: float = 14.0, growth: float = 0.3) -> int:
@@ -83,11 +85,13 @@ class CentroidGraph:
         self.degree = min(degree, k - 1)
         if self.degree > 0:
             links = []
-            for i in range(0, k, 1024):
-                s = centroids[i : i + 1024] @ centroids.T
+            step = max(1, min(1024, TILE // k))
+            for i in range(0, k, step):
+                s = centroids[i : i + step] @ centroids.T
                 s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
-                links.append(np.argpartition(-s, self.degree - 1, axis=1)[:, : self.degree])
-            self.links = np.concatenate(links).astype(np.int32)
+                # A copy, as a slice would hold the whole order of every tile.
+                links.append(np.argpartition(-s, self.degree - 1, axis=1)[:, : self.degree].astype(np.int32))
+            self.links = np.concatenate(links)
         step = max(1, k // max(1, int(2 * np.sqrt(k))))
         self.pivots = np.arange(0, k, step, dtype=np.int32)
 
@@ -151,8 +155,9 @@ def nearest(df: DataFrame, id_col: str = "faiss_id", vec_col: str = "vec", k: in
     n = rows.count()
     if n == 0:
         return spark.createDataFrame([], "id bigint, neighbour bigint, cosine double")
-    drawn = by_hash(rows, min(most, max(sample, 32 * (n // list_size))), n=n).select("v").toArrow()
-    x = _unpack(drawn.column(0).combine_chunks(), dim)
+    drawn = by_hash(rows, min(most, max(sample, 32 * (n // list_size))), n=n).select("v").toArrow().column(0)
+    x = np.concatenate([_unpack(drawn.slice(i, 16_384).combine_chunks(), dim) for i in range(0, len(drawn), 16_384)])
+    del drawn
     centroids = fit_lists(x, int(min(most // 4, max(1, n // list_size), max(1, len(x) // 4))))
     fitted, asked = CentroidGraph(centroids), probes(len(centroids), base, growth)
     nearest_list = np.concatenate([fitted.search(x[i : i + 2048], 1 + REPLICAS)[0][:, 0] for i in range(0, len(x), 2048)])

@@ -1,6 +1,7 @@
 """Names, groups, near-duplicates, neighbours, scans: small cases against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -212,6 +213,18 @@ def test_lists_grow_with_the_vectors():
     assert abs(len(c) - 2_200) < 60 and sizes.max() < 8 * sizes.mean()
 
 
+def test_the_graph_of_many_centroids_holds_little_at_once():
+    x = np.random.default_rng(7).normal(size=(6_000, 16)).astype(np.float32)
+    tracemalloc.start()
+    g = neighbours.CentroidGraph(x)
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert most < 100 and g.links.base is None  # the slices of whole orders held 8 bytes for each pair
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    assert all(set(g.links[i]) == set(np.argsort(-s[i])[:20]) for i in range(0, 6_000, 97))
+
+
 def test_scan_noise_kinds(spark):
     body = ["The quarterly committee measured the northern warehouse in detail.", "Nobody expected the preliminary results to arrive before winter.", "The department stored each printed catalogue and receipt."]
     rows, i = [], 0
