@@ -2,6 +2,8 @@
 
 import json
 import random
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -125,6 +127,35 @@ def test_similar_by_vector_against_all_pairs(spark):
     assert {(r.a, r.b) for r in docgraph.similar_by_vector(df, 0.5, 8, block=40).collect()} == want
 
 
+def test_rows_of_a_plane_meet_once(spark):
+    ids = spark.range(900).select("id")
+    for block, sent in ((1_000, 3), (200, 4), (9, 12)):  # q of 2, 3 and 11; in a grid of such blocks a row would be sent 1, 5 and 100 times
+        got = docgraph._paired(ids, block).collect()
+        lines, met = {}, Counter()
+        for r in got:
+            lines.setdefault(r.line, []).append(r)
+        for on in lines.values():
+            met.update((min(a.id, b.id), max(a.id, b.id)) for a, b in combinations(on, 2) if a.point != b.point or a.upright)
+        assert len(met) == 900 * 899 // 2 and set(met.values()) == {1} and len(got) == 900 * sent
+
+
+def test_best_pairs_by_vector_leave_nothing_out_and_stay_few(spark):
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=(260, 8)), np.repeat(rng.normal(size=(1, 8)), 40, axis=0)])  # copies: ties of weight 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    place = rng.permutation(300).tolist()
+    df = spark.createDataFrame([(i, v.tolist(), p) for i, (v, p) in enumerate(zip(x, place))], "id bigint, vec array<double>, place bigint")
+    every = [(a, b, round(float(min(1, max(0, x[a] @ x[b]))), 4), *sorted((place[a], place[b]))) for a, b in combinations(range(300), 2) if x[a] @ x[b] >= 0]
+    want = set()
+    for node in range(300):
+        want |= {e[:2] for e in sorted((e for e in every if node in e[:2]), key=lambda e: (-e[2], e[3], e[4]))[:4]}
+    for block in (8192, 30):
+        best = docgraph.nearest_by_vector(df, 0.0, 4, 8, block=block)
+        ends = best.select("node", "a", "b", F.round(F.least("sim", F.lit(1.0)), 4).alias("weight"), F.struct("first", "second").alias("seq"))
+        assert {(r.a, r.b) for r in docgraph.capped_ends(ends, 4).collect()} == want
+        assert best.count() <= 300 * 4 * (1 if block == 8192 else 6) < len(every) < 300 * 299 // 2
+
+
 def test_keyword_overlap_of_all_documents_against_all_pairs(spark, tmp_path):
     rng = random.Random(9)
     words = [f"term{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
@@ -137,6 +168,31 @@ def test_keyword_overlap_of_all_documents_against_all_pairs(spark, tmp_path):
     assert {(r.doc_id, r.other): r.sim for r in got} == pytest.approx(want) and len(got) == len(want) > 500
 
 
+def test_overlap_of_some_sets_against_all_pairs(spark):
+    rng = random.Random(11)
+    sets = {i: {f"often{rng.randrange(8)}" for _ in range(3)} | {f"rare{rng.randrange(90)}" for _ in range(rng.randrange(9))} for i in range(160)}
+    df = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s] + [(None, "often1"), (7, None)], "doc_id bigint, term string")
+    lone = {i for i in sets if i % 5 == 0}
+    some = spark.createDataFrame([(i,) for i in lone] + [(5,), (9_999,)], "doc_id bigint")
+    for least in (0.3, 0.0):
+        sims = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sets, 2) if {a, b} & lone and sets[a] & sets[b]}
+        want = {k: v for k, v in sims.items() if v >= least}
+        for size in ({}, {"block": 20, "cells": 100}):
+            got = docgraph.similar_by_terms(df, some, least, **size).collect()
+            assert {(r.a, r.b): r.sim for r in got} == pytest.approx(want) and len(got) == len(want)
+    assert docgraph.similar_by_terms(df.limit(0), some, 0.3).count() == 0 and docgraph.similar_by_terms(df, some.limit(0), 0.3).count() == 0
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_no_pair_of_documents_is_shuffled(spark):
+    df = spark.createDataFrame([(i, f"t{i % 7}") for i in range(40)], "doc_id bigint, term string")
+    got = docgraph.similar_by_terms(df, df.select("doc_id"), 0.05)
+    assert shuffles(got) == 0 and "Exchange" in got._jdf.queryExecution().executedPlan().toString()  # only sets, by number of lines
+
+
 def test_resolution(spark):
     c = spark.createDataFrame([("AI", "Concept", 1), ("ai", "Concept", 2), ("a i", "Concept", 3), ("ai", "Concept", 4), ("AI", "Product", 5)], "name string, entity_type string, seq int")
     assert {(r.name, r.entity_type): r.canonical for r in resolve.by_spelling(c).collect()} == {("AI", "Concept"): "ai", ("ai", "Concept"): "ai", ("a i", "Concept"): "ai", ("AI", "Product"): "AI"}
