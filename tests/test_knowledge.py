@@ -187,6 +187,21 @@ def shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
+def test_shared_terms_of_edges_travel_as_lists(spark):
+    rng = random.Random(12)
+    score = {(i, f"t{j}"): rng.choice([0.25, 0.5, 0.125]) for i in range(30) for j in rng.sample(range(20), rng.randrange(12))}
+    terms = spark.createDataFrame([(i, t, s) for (i, t), s in score.items()], "doc_id bigint, term string, score double")
+    edges = [(a, b) for a, b in combinations(range(31), 2) if rng.random() < 0.4]
+    got = docgraph.shared_terms(spark.createDataFrame(edges, "a bigint, b bigint"), terms, 3)
+    want = {}
+    for a, b in edges:
+        both = sorted((-score[a, t] - score[b, t], t) for i, t in score if i == a and (b, t) in score)
+        if both:
+            want[a, b] = " ".join(t for _, t in both[:3])
+    assert {(r.a, r.b): r.terms for r in got.collect()} == want and len(want) > 50
+    assert "Window" not in got._jdf.queryExecution().toString()  # rows of terms were ranked by one
+
+
 def test_no_pair_of_documents_is_shuffled(spark):
     df = spark.createDataFrame([(i, f"t{i % 7}") for i in range(40)], "doc_id bigint, term string")
     got = docgraph.similar_by_terms(df, df.select("doc_id"), 0.05)
