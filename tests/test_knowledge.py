@@ -177,7 +177,7 @@ def test_overlap_of_some_sets_against_all_pairs(spark):
     for least in (0.3, 0.0):
         sims = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sets, 2) if {a, b} & lone and sets[a] & sets[b]}
         want = {k: v for k, v in sims.items() if v >= least}
-        for size in ({}, {"block": 20, "cells": 100}):
+        for size in ({}, {"block": 20, "cells": 100}, {"block": 3, "cells": 100}):  # the plane, then a grid
             got = docgraph.similar_by_terms(df, some, least, **size).collect()
             assert {(r.a, r.b): r.sim for r in got} == pytest.approx(want) and len(got) == len(want)
     assert docgraph.similar_by_terms(df.limit(0), some, 0.3).count() == 0 and docgraph.similar_by_terms(df, some.limit(0), 0.3).count() == 0
