@@ -187,6 +187,17 @@ def shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
 
+def test_asked_sets_meet_every_other_once(spark):
+    for few, sent in ((8, 300 + 24 * 8), (300, 300 * 4)):  # a grid of 24 parts; a plane of q = 3
+        got = docgraph._asked(spark.range(300).select("id", (F.col("id") < few).alias("lone")), 40).collect()
+        met, lines = Counter(), {}
+        for r in got:
+            lines.setdefault(r.line, []).append(r)
+        for on in lines.values():
+            met.update((a.id, b.id) for a in on if a.asks for b in on if b.held and a.id != b.id and (a.point != b.point or a.upright))
+        assert len(got) == sent and len(met) == few * 299 and set(met.values()) == {1}
+
+
 def test_shared_terms_of_edges_travel_as_lists(spark):
     rng = random.Random(12)
     score = {(i, f"t{j}"): rng.choice([0.25, 0.5, 0.125]) for i in range(30) for j in rng.sample(range(20), rng.randrange(12))}
