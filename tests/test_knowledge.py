@@ -198,6 +198,27 @@ def test_asked_sets_meet_every_other_once(spark):
         assert len(got) == sent and len(met) == few * 299 and set(met.values()) == {1}
 
 
+def test_each_line_has_a_task_of_its_own(spark):
+    for few, block in ((300, 40), (300, 8), (8, 40)):  # planes of q = 3 and 7; a grid
+        placed = docgraph._asked(spark.range(300).select("id", (F.col("id") < few).alias("lone")), block)
+        lines = placed.select("line", F.spark_partition_id().alias("task")).distinct().collect()
+        assert len({r.line for r in lines}) == len({r.task for r in lines}) == len(lines) > 10
+
+
+def test_overlap_is_rounded_in_the_task_as_spark_rounds(spark):
+    x = [1 / 128, 3 / 128, 0.0000005, 0.1234565, 0.1234564999, 2 / 3, 1.0, 0.0, 0.046875, 1e-9]
+    df = spark.createDataFrame([(v,) for v in x], "v double")
+    for digits in (2, 6):
+        assert docgraph._half_up(np.array(x), digits).tolist() == [r[0] for r in df.select(F.round("v", digits)).collect()]
+    many = [(i, f"t{j}") for i, (lo, hi) in enumerate(((0, 1), (0, 128), (2, 120), (0, 300))) for j in range(lo, hi)]  # one set of 256 and more
+    df = spark.createDataFrame(many, "doc_id bigint, term string")
+    for some in (df, df.filter("doc_id < 3")):
+        want = {(r.a, r.b): r.sim for r in docgraph.similar_by_terms(some, some, 0.0).select("a", "b", F.round("sim", 6).alias("sim")).collect()}
+        got = {(r.a, r.b): r.sim for r in docgraph.similar_by_terms(some, some, 0.0, digits=6).collect()}
+        assert got == want and got[0, 1] == 0.007813
+    assert "round(" not in docgraph.similar_by_terms(df, df, 0.0, digits=6)._jdf.queryExecution().toString()
+
+
 def test_shared_terms_of_edges_travel_as_lists(spark):
     rng = random.Random(12)
     score = {(i, f"t{j}"): rng.choice([0.25, 0.5, 0.125]) for i in range(30) for j in rng.sample(range(20), rng.randrange(12))}
